@@ -103,4 +103,5 @@ def segment_distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     length2 = dx * dx + dy * dy
     along = F.when(length2 == 0, F.lit(0.0)).otherwise(((px - x1) * dx + (py - y1) * dy) / length2)
     u = clip(along, 0.0, 1.0)
-    return F.hypot(px - (x1 + u * dx), py - (y1 + u * dy))
+    ex, ey = px - (x1 + u * dx), py - (y1 + u * dy)
+    return F.sqrt(ex * ex + ey * ey)

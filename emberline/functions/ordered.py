@@ -41,6 +41,7 @@ def neighbours(
     def opens(row: Column, before: Column) -> Column:
         return F.coalesce(starts(row, before), F.lit(False)).cast("bigint")
 
+    # A slot's first row is judged after stitching, when its predecessor is known.
     stats = [F.min_by(payload, when).alias("__first"), F.max_by(payload, when).alias("__last")]
     if starts is not None:
         stats.append(F.sum(F.when(F.col("__p").isNotNull(), opens(payload, F.col("__p"))).otherwise(0)).alias("__inner"))

@@ -83,7 +83,7 @@ def radius_join(
     rx, ry = F.col(right_xy[0]), F.col(right_xy[1])
     lefts = left.withColumn("__tx", F.floor(lx / radius)).withColumn("__ty", F.floor(ly / radius))
     rights = right.withColumn("__tx", _around(F.floor(rx / radius))).withColumn("__ty", _around(F.floor(ry / radius)))
-    d = F.hypot(rx - lx, ry - ly) if distance is None else distance
+    d = F.sqrt((rx - lx) * (rx - lx) + (ry - ly) * (ry - ly)) if distance is None else distance
     pairs = tile_pairs(lefts, rights, [*keys, "__tx", "__ty"], tile_rows, balance).withColumn("d", d).drop("__tx", "__ty")
     return pairs.where(F.col("d") <= radius if inclusive else F.col("d") < radius)
 
@@ -223,7 +223,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, xy: tuple[str, str] = (
         return F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
 
     px, py = F.col(xy[0]), F.col(xy[1])
-    listed = boxes.withColumn("__i", span("west", "east")).withColumn("__j", span("south", "north"))
-    placed = points.withColumn("__i", F.floor(px / tile)).withColumn("__j", F.floor(py / tile))
+    listed = boxes.withColumn("__bi", span("west", "east")).withColumn("__bj", span("south", "north"))
+    placed = points.withColumn("__bi", F.floor(px / tile)).withColumn("__bj", F.floor(py / tile))
     inside = px.between(F.col("west"), F.col("east")) & py.between(F.col("south"), F.col("north"))
-    return tile_pairs(placed, listed, [*keys, "__i", "__j"], balance=balance).where(inside).drop("__i", "__j")
+    return tile_pairs(placed, listed, [*keys, "__bi", "__bj"], balance=balance).where(inside).drop("__bi", "__bj")
