@@ -171,8 +171,8 @@ def nearest_pruned(
     return nearest_within(pairs, ids, member_id, payload)
 
 
-def crossings(points: DataFrame, edges: DataFrame, keys: list[str], point_id: list[str], slot: float,
-              xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+def crossings(points: DataFrame, edges: DataFrame, keys: list[str], slot: float,
+              xy: tuple[str, str] = ("x", "y"), balance: bool = True) -> DataFrame:
     """Points joined to the ring edges an eastward ray from them crosses.
 
     Edges are listed under every horizontal slot they span, so a point meets only
@@ -187,14 +187,14 @@ def crossings(points: DataFrame, edges: DataFrame, keys: list[str], point_id: li
     cut = cut.select(*keys, "__s", "x1", "y1", "x2", "y2")
     straddles = (F.col("y1") > py) != (F.col("y2") > py)
     right_of = px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    return tile_pairs(pts, cut, [*keys, "__s"]).where(straddles & right_of)
+    return tile_pairs(pts, cut, [*keys, "__s"], balance=balance).where(straddles & right_of)
 
 
 def points_inside(points: DataFrame, edges: DataFrame, keys: list[str], point_id: list[str], slot: float,
-                  xy: tuple[str, str] = ("x", "y")) -> DataFrame:
+                  xy: tuple[str, str] = ("x", "y"), balance: bool = True) -> DataFrame:
     """Ids of points inside the even-odd interior of their key's edges (holes honoured)."""
     ids = list(dict.fromkeys([*keys, *point_id]))
-    hits = crossings(points.select(*ids, *xy), edges, keys, point_id, slot, xy)
+    hits = crossings(points.select(*ids, *xy), edges, keys, slot, xy, balance)
     return hits.groupBy(*ids).agg(F.count("*").alias("__n")).where(F.col("__n") % 2 == 1).select(*ids)
 
 
