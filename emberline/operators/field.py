@@ -148,7 +148,8 @@ def radius_features(cells: DataFrame, site: DataFrame) -> DataFrame:
     right = site.select(
         *KEYS, F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("n").cast("double").alias("w"), "frp_max", "frp_sum", "t_max", "t_min", "n_viirs"
     )
-    pairs = radius_join(cells.select(*CELL, "x", "y"), right, REACH_KM, KEYS)
+    # Dense tiles are split early: the work is pairs, so 5,000 rows a side already mean 25 million.
+    pairs = radius_join(cells.select(*CELL, "x", "y"), right, REACH_KM, KEYS, tile_rows=5_000)
     rings = sorted({float(r) for r in COUNT_RADII} | {r for _, r in TURN_RADII})
     ring = F.lit(len(rings) - 1)
     for i in range(len(rings) - 2, -1, -1):

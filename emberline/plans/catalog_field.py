@@ -18,7 +18,27 @@ START_T, CUTOFF_T = 1704067200.0, 1706140800.0
 PER_CELL = 250.0**2 / 4046.86
 
 
+_MADE: dict = {}
+
+
+def made(spark, sf, what, build):
+    """Tables several queries start from are written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _MADE:
+        _MADE[key] = build()
+    return _MADE[key]
+
+
+def forget() -> None:
+    """Drop the shared tables, so that a timed query pays for its own inputs."""
+    _MADE.clear()
+
+
 def inputs(spark, sf):
+    return made(spark, sf, "inputs", lambda: build_inputs(spark, sf))
+
+
+def build_inputs(spark, sf):
     """Step tables built from the driver data: one step per fire."""
     dets = kept_detections(spark, sf).withColumns({"step": F.lit(0), "t": F.unix_micros("acq") / F.lit(1e6)})
     fires = view(spark, sf, "fires")
@@ -33,7 +53,9 @@ def inputs(spark, sf):
 
 
 def cells(i):
-    return cut_lineage(M.prediction_cells(i.grid, i.base))
+    if not hasattr(i, "cells"):
+        i.cells = cut_lineage(M.prediction_cells(i.grid, i.base))
+    return i.cells
 
 
 FRAME = cte("detections", "fires") + f""", {RAW_DETS}, {JUDGED},
@@ -188,6 +210,12 @@ SCORED = FRAME + f", {CHEAP_AGG}, sc AS (SELECT *, round(n2/(n5+1)*exp(-d_near),
 
 
 def rule_scored(i):
+    if not hasattr(i, "scored"):
+        i.scored = build_scores(i)
+    return i.scored
+
+
+def build_scores(i):
     c, s = cells(i), M.sites(i.local)
     near = M.nearest_site(c, s).select(*M.CELL, "d_near")
     rows = M.radius_features(c, s).select(*M.CELL, "n2", "n5").join(near, M.CELL)
@@ -241,9 +269,11 @@ def _(spark, sf):
 
 
 def training_rows(spark, sf):
-    i, ft = features(spark, sf)
-    labelled = M.label_cells(ft, i.target)
-    return i, cut_lineage(labelled)
+    def build():
+        i, ft = features(spark, sf)
+        return cut_lineage(M.label_cells(ft, i.target))
+
+    return inputs(spark, sf), made(spark, sf, "labelled", build)
 
 
 @query("m03_fit_and_score")
