@@ -150,15 +150,15 @@ def _(spark, sf):
 
 
 @query("w03_drop_runs", cte("track") + f", {DROPS} " + """SELECT icao, run, count(*) AS hits, min(t) AS t0, max(t) AS t1, arg_max(drop_kind, pt) AS kind,
-  greatest(CAST(count(*) + (CASE WHEN arg_min(plon, pt) IS NULL THEN 0 ELSE 1 END) + (CASE WHEN arg_max(nlon, pt) IS NULL THEN 0 ELSE 1 END) AS INTEGER), 2) AS n_coords FROM rr WHERE drop_kind IS NOT NULL GROUP BY icao, run""", "t0 t1")
+  greatest(CAST(count(*) + (CASE WHEN arg_min_null(plon, pt) IS NULL THEN 0 ELSE 1 END) + (CASE WHEN arg_max_null(nlon, pt) IS NULL THEN 0 ELSE 1 END) AS INTEGER), 2) AS n_coords FROM rr WHERE drop_kind IS NOT NULL GROUP BY icao, run""", "t0 t1")
 def _(spark, sf):
     return A.drop_runs(drops(spark, sf), DAY()).select("icao", "run", "hits", "t0", "t1", "kind", F.size("coords").alias("n_coords"))
 
 
 LEGS = DROPS + """, lg AS (SELECT *, sqrt(pow((lon-plon)*111.32e0*cos(radians(plat)),2)+pow((lat-plat)*111.32e0,2)) AS km_in, sqrt(pow(lon-plon,2)+pow(lat-plat,2)) AS w_in,
    sqrt(pow((nlon-lon)*111.32e0*cos(radians(lat)),2)+pow((nlat-lat)*111.32e0,2)) AS km_out, sqrt(pow(nlon-lon,2)+pow(nlat-lat,2)) AS w_out FROM rr WHERE drop_kind IS NOT NULL),
-  ln AS (SELECT icao, run, count(*) AS hits, coalesce(sum(km_in),0) + coalesce(arg_max(km_out,pt),0) AS length_km, coalesce(sum(w_in),0)+coalesce(arg_max(w_out,pt),0) AS w,
-   (coalesce(sum(w_in*(lon+plon)/2),0)+coalesce(arg_max(w_out*(lon+nlon)/2,pt),0)) AS wx, (coalesce(sum(w_in*(lat+plat)/2),0)+coalesce(arg_max(w_out*(lat+nlat)/2,pt),0)) AS wy FROM lg GROUP BY icao, run)"""
+  ln AS (SELECT icao, run, count(*) AS hits, coalesce(sum(km_in),0) + coalesce(arg_max_null(km_out,pt),0) AS length_km, coalesce(sum(w_in),0)+coalesce(arg_max_null(w_out,pt),0) AS w,
+   (coalesce(sum(w_in*(lon+plon)/2),0)+coalesce(arg_max_null(w_out*(lon+nlon)/2,pt),0)) AS wx, (coalesce(sum(w_in*(lat+plat)/2),0)+coalesce(arg_max_null(w_out*(lat+nlat)/2,pt),0)) AS wy FROM lg GROUP BY icao, run)"""
 
 
 @query("w04_recent_drop_paths", cte("track", "fires") + f", {LEGS} " + """SELECT icao, run, fire, hits, length_km FROM ln, fires WHERE length_km <= 8 AND
