@@ -114,33 +114,39 @@ def coarsen(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
 def components(cells: DataFrame, keys: list[str], eight: bool = False, max_rounds: int = 200) -> DataFrame:
     """Connected parts: adds ``comp``, the smallest packed cell id of the part.
 
-    Each round takes the smallest neighbouring label and then jumps to that label's
-    own label, so rounds grow far slower than the diameter. Rounds are checkpointed.
+    Cells are first joined into horizontal runs, so a filled shape enters the label
+    rounds as one node per row span. Each round takes the smallest neighbouring label
+    and then jumps to that label's own label; rounds are checkpointed.
     """
     pack = F.col("iy").cast("bigint") * F.lit(1 << 31) + F.col("ix").cast("bigint")
-    base = cells.select(*keys, "ix", "iy").distinct().withColumn("id", pack)
-    sides = [(1, 0), (0, 1)] + ([(1, 1), (1, -1)] if eight else [])
-    there = base.select(*keys, F.col("ix").alias("ix"), F.col("iy").alias("iy"), F.col("id").alias("dst"))
-    half = base.select(*keys, F.col("id").alias("src"), "ix", "iy", _shifts(sides).alias("o")).select(
+    base = cells.select(*keys, "ix", "iy").distinct()
+    # One grid row of one key at a time: its length is the grid's width.
+    row = Window.partitionBy(*keys, "iy").orderBy("ix")
+    island = F.col("ix") - F.row_number().over(row)
+    base = base.withColumn("__g", island)
+    base = base.withColumn("id", F.min(pack).over(Window.partitionBy(*keys, "iy", "__g"))).drop("__g")
+    base = cut_lineage(base)
+    lean = [(dx, 1) for dx in ((-1, 0, 1) if eight else (0,))]
+    up = base.select(*keys, F.col("id").alias("src"), "ix", "iy", _shifts(lean).alias("o")).select(
         *keys, "src", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy")
     )
-    links = half.join(there, [*keys, "ix", "iy"]).select(*keys, "src", "dst")
+    links = up.join(base.withColumnRenamed("id", "dst"), [*keys, "ix", "iy"]).select(*keys, "src", "dst").distinct()
     links = cut_lineage(links.unionByName(links.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    labels = cut_lineage(base.select(*keys, "id", F.col("id").alias("comp")))
+    labels = cut_lineage(base.select(*keys, "id").distinct().withColumn("comp", F.col("id")))
     for _ in range(max_rounds):
         offer = links.join(labels.select(*keys, F.col("id").alias("src"), "comp"), [*keys, "src"])
         best = (
-            offer.select(*keys, F.col("dst").alias("id"), "comp")
-            .unionByName(labels.select(*keys, "id", "comp"))
+            offer.select(*keys, F.col("dst").alias("id"), "comp", F.lit(None).cast("bigint").alias("own"))
+            .unionByName(labels.select(*keys, "id", "comp", F.col("comp").alias("own")))
             .groupBy(*keys, "id")
-            .agg(F.min("comp").alias("m"))
+            .agg(F.min("comp").alias("m"), F.max("own").alias("own"))
         )
-        jump = best.select(*keys, F.col("id").alias("m"), F.col("m").alias("mm"))
-        nxt = best.join(jump, [*keys, "m"], "left").select(*keys, "id", F.least("m", F.coalesce("mm", "m")).alias("comp"))
+        hop = labels.select(*keys, F.col("id").alias("m"), F.col("comp").alias("mm"))
+        nxt = best.join(hop, [*keys, "m"], "left").select(*keys, "id", F.least("m", F.coalesce("mm", "m")).alias("comp"), "own")
         nxt = cut_lineage(nxt)
-        moved = nxt.join(labels.withColumnRenamed("comp", "was"), [*keys, "id"]).where("comp <> was").limit(1).count()
-        labels = nxt
-        if moved == 0:
+        settled = nxt.where("comp <> own").isEmpty()
+        labels = nxt.drop("own")
+        if settled:
             return base.join(labels, [*keys, "id"]).drop("id")
     raise RuntimeError("component labels did not settle; raise max_rounds")
 

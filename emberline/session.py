@@ -36,6 +36,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the checkpoint folder; survives lost executors.
+
+    A checkpointed DataFrame carries the constraints inferred for its plan. In a loop
+    those multiply from round to round until planning dominates, so none are inferred
+    while the cut is made.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
