@@ -82,12 +82,15 @@ def erode(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
 
 
 def close(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
-    return erode(dilate(cells, keys, radius_cells), keys, radius_cells)
+    # Each step reads its input twice (rim and body), so the middle is written once.
+    return erode(cut_lineage(dilate(cells, keys, radius_cells)), keys, radius_cells)
 
 
 def smooth(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
     """Grow by r, shrink by 1.6 r, grow by 0.6 r; a shape that vanishes is kept as it was."""
-    out = dilate(erode(dilate(cells, keys, radius_cells), keys, 1.6 * radius_cells), keys, 0.6 * radius_cells)
+    grown = cut_lineage(dilate(cells, keys, radius_cells))
+    shrunk = cut_lineage(erode(grown, keys, 1.6 * radius_cells))
+    out = cut_lineage(dilate(shrunk, keys, 0.6 * radius_cells))
     if not keys:
         return out
     lost = cells.join(out.select(*keys).distinct(), keys, "left_anti")
