@@ -46,10 +46,26 @@ def _shifts(offsets) -> F.Column:
     return F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
 
 
-def shifted(cells: DataFrame, keys: list[str], offsets) -> DataFrame:
-    return cells.select(*keys, "ix", "iy", _shifts(offsets).alias("o")).select(
-        *keys, (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy")
+def swept(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
+    """Cells within ``radius_cells`` of the given ones.
+
+    A disc is laid out as one span per grid row instead of all its cells; spans of a row
+    are merged before they are opened into cells again. A grid row is bounded by the
+    grid's width, so the windows stay small.
+    """
+    n = int(math.floor(radius_cells + 1e-9))
+    half = {dy: max(dx for dx, d in disc_offsets(radius_cells) if d == dy) for dy in range(-n, n + 1)}
+    rows = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dy, w in half.items()]))
+    spans = cells.select(*keys, "ix", "iy", rows.alias("o")).select(
+        *keys, (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("ix") - F.col("o.w")).alias("lo"), (F.col("ix") + F.col("o.w")).alias("hi")
     )
+    spans = spans.groupBy(*keys, "iy", "lo").agg(F.max("hi").alias("hi"))
+    row = Window.partitionBy(*keys, "iy").orderBy("lo")
+    reach = F.max("hi").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("open", F.when(F.col("lo") <= reach + 1, 0).otherwise(1))
+    spans = spans.withColumn("g", F.sum("open").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy(*keys, "iy", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.select(*keys, F.explode(F.sequence("lo", "hi")).alias("ix"), "iy")
 
 
 def rims(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -73,12 +89,12 @@ def rims(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
 
 def dilate(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
     inner, _ = rims(cells, keys)
-    return union(cells, shifted(inner, keys, disc_offsets(radius_cells)), keys)
+    return union(cells, swept(inner, keys, radius_cells), keys)
 
 
 def erode(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
     _, outer = rims(cells, keys)
-    return subtract(cells, shifted(outer, keys, disc_offsets(radius_cells)).distinct(), keys)
+    return subtract(cells, swept(outer, keys, radius_cells), keys)
 
 
 def close(cells: DataFrame, keys: list[str], radius_cells: float) -> DataFrame:
