@@ -1,8 +1,9 @@
-"""Session conventions: UTC everywhere, and one way to reach the checkpoint folder."""
+"""Session conventions: UTC everywhere, and one way to reach the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,37 +18,65 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a scratch folder of its own: on a
     cluster a machine-local path would be lost together with its executor.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not shared:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        shared = tempfile.mkdtemp(prefix="emberline-ckpt-")
+    context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    checkpoint_root(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder; survives lost executors.
+    """Write ``df`` as Parquet to the checkpoint folder and read it back; survives lost executors.
 
-    A checkpointed DataFrame carries the constraints inferred for its plan. In a loop
-    those multiply from round to round until planning dominates, so none are inferred
-    while the cut is made.
+    Unlike a checkpointed plan, the files carry true sizes, so the joins of later rounds are
+    planned from what is there and not from estimates multiplied round by round.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+    path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a ``cut_lineage`` result that nothing will read again."""
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    for file in df.inputFiles()[:1]:
+        folder = file.rsplit("/", 1)[0]
+        if "/cut-" in folder and folder.split("/cut-")[0].endswith(root.rstrip("/").rsplit("/", 1)[-1]):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Store ``data`` beside the checkpoints and hand it to every executor; returns its name.
+
+    Executors open their copy through ``SparkFiles.get(name)``; an executor that joins later
+    fetches it again. The name must change with the content.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
