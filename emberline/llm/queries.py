@@ -56,3 +56,26 @@ def bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.lexicon import encode_notes
 
     return back(encode_notes(notes_of(spark, sf_dir), vocabulary("byte_bpe_50k.json"), keep_ids=False))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.languages import detect_language, fit_languages
+    from emberline.llm.samples import in_fold
+
+    notes = notes_of(spark, sf_dir, F.col("lang").alias("language"))
+    model = fit_languages(notes.where(~in_fold("obs_id")))
+    found = detect_language(notes, model)
+    return back(found.select("obs_id", in_fold("obs_id").alias("held_out"), "lang_pred", "score"))
+
+
+@query("op8_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.quality import fit_quality, score_notes
+    from emberline.llm.samples import in_fold
+
+    notes = notes_of(spark, sf_dir)
+    ratings = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("obs_id"), F.col("quality").alias("reliable"))
+    model = fit_quality(notes, ratings.where(~in_fold("obs_id")))
+    scored = score_notes(notes, model, keep_from=0.3)
+    return back(scored.select("obs_id", in_fold("obs_id").alias("held_out"), "score", "predicted"))
