@@ -79,3 +79,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(notes, ratings.where(~in_fold("obs_id")))
     scored = score_notes(notes, model, keep_from=0.3)
     return back(scored.select("obs_id", in_fold("obs_id").alias("held_out"), "score", "predicted"))
+
+
+@query("op9_simhash")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.simhash import group_notes
+
+    return back(group_notes(notes_of(spark, sf_dir), shingle_words=4, radius=4)).drop("note_hash")
