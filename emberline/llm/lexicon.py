@@ -7,8 +7,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from emberline.llm.merges import BYTE_CHAR
 from emberline.llm.notes import map_notes
-from emberline.llm.pretokens import CUTS, Encoder, frequent_pieces, read_spec
+from emberline.llm.pretokens import Encoder, frequent_pieces, read_spec, spaced, texts
 from emberline.session import shared_file
 
 
@@ -132,15 +133,10 @@ class Lexicon:
 
 
 def token_bytes(encoder: Encoder) -> dict[int, bytes]:
-    """What each id stands for. The byte-level alphabet: printable Latin-1 bytes are themselves, the
-    others follow in order from U+0100; a token outside it (none in a byte-level vocabulary) is its text."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    back = {chr(b): b for b in plain}
-    back |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    out = {}
-    for token, i in encoder.tokenizer.get_vocab(with_added_tokens=True).items():
-        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-    return out
+    """What each id stands for; a token outside the byte alphabet (none in a byte-level vocabulary) is its text."""
+    back = {c: b for b, c in BYTE_CHAR.items()}
+    vocab = encoder.tokenizer.get_vocab(with_added_tokens=True)
+    return {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
 
 
 def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int = 1 << 15, keep_ids: bool = True) -> DataFrame:
@@ -149,7 +145,7 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
     The ``lexicon_size`` most frequent pieces of all notes and their ids are compiled into a minimal
     acyclic transducer whose file (a few MB) executors fetch from the shared folder and memory-map.
     A task looks the different pieces of a slice up in it, all at once; pieces it does not accept are
-    merged exactly by the library. Decoding goes from the ids back through the vocabulary's bytes, with
+    merged exactly, many at a time. Decoding goes from the ids back through the vocabulary's bytes, with
     bytes that form no character replaced as the library does. Ids are hashed as little-endian
     unsigned 32-bit integers, decoded text as UTF-8, in lowercase hex.
 
@@ -160,7 +156,8 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
     spark = observations.sparkSession
     spec = read_spec(tokenizer_file)
     frequent = frequent_pieces(observations, "spaced", lexicon_size)
-    compiled = Lexicon.compile(dict(zip(frequent, Encoder.shared(spec).encode(frequent)))).to_bytes()
+    known = {p.encode(): np.frombuffer(i, "<u4").tolist() for p, i in zip(frequent, Encoder.shared(spec).encode(frequent))}
+    compiled = Lexicon.compile(known).to_bytes()
     name = shared_file(spark, f"lexicon-{hashlib.sha256(compiled).hexdigest()[:24]}.bin", compiled)
     sent = spark.sparkContext.broadcast(spec)
 
@@ -168,12 +165,12 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
         from pyspark import SparkFiles
 
         encoder, lexicon = Encoder.shared(sent.value), Lexicon.mapped(SparkFiles.get(name))
-        stands, cut_of = token_bytes(encoder), CUTS["spaced"]
+        stands = token_bytes(encoder)
 
         def encode(notes: list[bytes]) -> dict:
-            cut = [cut_of(n) for n in notes]
+            cut = [spaced(n) for n in texts(notes)]
             distinct = list(set().union(*cut))
-            found = lexicon.rows(distinct)
+            found = lexicon.rows([p.encode() for p in distinct])
             ids = {p: lexicon.ids_at(r) for p, r in zip(distinct, found.tolist()) if r >= 0}
             new = {p for p in distinct if p not in ids}
             merged = encoder.ids(new)

@@ -3,11 +3,14 @@
 A note is cut only where the tokenizer itself always cuts, so the ids of the pieces in order are the
 ids of the note:
 
-* ``words``: the word tokenizer drops white space, hence every run of ASCII white space is a cut and
-  vanishes. Its special strings hold no white space and stay inside one piece.
-* ``spaced``: the byte tokenizer keeps white space; no pre-token starts in visible text and runs on
-  into white space, so the start of every white-space run is a cut. Notes with characters on whose
-  white-space nature engines differ are one piece as a whole.
+* ``words``: the word tokenizer lowers case and drops white space. A piece is one of its pre-tokens.
+* ``spaced``: the byte tokenizer keeps white space as the start of what follows. A piece is one of its
+  pre-tokens.
+
+Both hold for plain text: ASCII without the information separators, and the letters of the Latin-1 and
+Latin Extended-A blocks. A note with anything else, or with the mark that special strings begin with,
+is cut at ASCII white space only, which is a cut for both tokenizers; the parts that are not plain go
+to the library whole. For ``spaced``, where engines differ on what white space is, the note does.
 """
 
 from __future__ import annotations
@@ -21,28 +24,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from emberline.llm.merges import Merger
 from emberline.llm.notes import noted, slices
 
-_SPACED = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+_UPPER, _LOWER = "A-Z\u00c0-\u00d6\u00d8-\u00de", "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+_ODD = re.compile(f"[^\x00-\x1b\x20-\x7f{_UPPER}{_LOWER}]|<\\|")
+_GAP = "\\x20\\x09-\\x0D"
+_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORDS = re.compile(f"{_SUFFIX}|[{_LOWER}]+|[0-9]|[^{_GAP}0-9{_LOWER}]+")
+_SPACED = re.compile(f"{_SUFFIX}| ?[{_UPPER}{_LOWER}]+| ?[0-9]+| ?[^{_GAP}0-9{_UPPER}{_LOWER}]+|[{_GAP}]+(?![^{_GAP}])|[{_GAP}]+")
+_CHUNK = re.compile(f"[^{_GAP}]+")
+_SPACED_CHUNK = re.compile(f"[{_GAP}]*[^{_GAP}]+|[{_GAP}]+")
 _SPACED_WIDE = re.compile(r"\s*\S+|\s+")
-# U+0085, U+00A0, U+1680, U+2000-200A, U+2028/9, U+202F, U+205F, U+3000 in UTF-8.
-_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # The information separators and U+180E, which some engines call white space.
-_UNSURE = re.compile(rb"[\x1c-\x1f]|\xe1\xa0\x8e")
+_UNSURE = re.compile("[\x1c-\x1f\u180e]")
+_LONG = 64
 
 
-def words(note: bytes) -> list[bytes]:
-    return note.split()
+def plain(piece: str) -> bool:
+    return _ODD.search(piece) is None
 
 
-def spaced(note: bytes) -> list[bytes]:
-    if note.isascii():
-        return [note] if _UNSURE.search(note) else _SPACED.findall(note)
+def words(note: str) -> list[str]:
+    if plain(note):
+        return _WORDS.findall(note.lower())
+    out: list[str] = []
+    for chunk in _CHUNK.findall(note):
+        if plain(chunk):
+            out.extend(_WORDS.findall(chunk.lower()))
+        else:
+            out.append(chunk)
+    return out
+
+
+def spaced(note: str) -> list[str]:
+    if plain(note):
+        return _SPACED.findall(note)
     if _UNSURE.search(note):
         return [note]
-    if _WIDE.search(note):
-        return [x.encode() for x in _SPACED_WIDE.findall(note.decode("utf-8", "replace"))]
-    return _SPACED.findall(note)
+    out: list[str] = []
+    for chunk in (_SPACED_WIDE if not note.isascii() else _SPACED_CHUNK).findall(note):
+        if plain(chunk):
+            out.extend(_SPACED.findall(chunk))
+        else:
+            out.append(chunk)
+    return out
 
 
 CUTS = {"words": words, "spaced": spaced}
@@ -54,23 +80,29 @@ def read_spec(tokenizer_file: str) -> str:
         return f.read()
 
 
+def texts(notes: list[bytes]) -> list[str]:
+    return [n.decode("utf-8", "replace") for n in notes]
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 class Encoder:
-    """Ids of single pieces by the public library, with a cache that lives as long as the worker.
+    """Ids of single pieces, merged many at a time, with caches that live as long as the worker.
 
-    The cache is emptied when it holds ``most`` pieces, so a worker's memory stays bounded however
-    many different pieces a task meets.
+    Plain pieces are single pre-tokens and go through the merge table; long and other pieces go to the
+    library. A cache is emptied when it holds ``most`` pieces, so a worker's memory stays bounded
+    however many different pieces a task meets.
     """
 
-    def __init__(self, spec: str, most: int = 250_000):
+    def __init__(self, spec: str, most: int = 400_000):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merger = Merger(spec)
         self.most = most
-        self.cache: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
+        self.cache: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
 
     @classmethod
     def shared(cls, spec: str) -> Encoder:
@@ -82,27 +114,34 @@ class Encoder:
             _ENCODERS[key] = cls(spec)
         return _ENCODERS[key]
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in run(texts, add_special_tokens=False)]
-
-    def ids(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """A table that holds at least ``pieces``: little-endian unsigned 32-bit ids as bytes."""
-        if len(self.cache) > self.most:
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        easy = [i for i, p in enumerate(pieces) if len(p) <= _LONG and plain(p)]
+        for i, ids in zip(easy, self.merger.merge([pieces[i].encode() for i in easy])):
+            out[i] = ids
+        rest = sorted(set(range(len(pieces))).difference(easy))
+        if rest:
+            run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            for i, e in zip(rest, run([pieces[i] for i in rest], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def ids(self, pieces: set[str]) -> dict[str, bytes]:
+        """A table that holds at least ``pieces`` with their ids."""
+        new = list(pieces.difference(self.cache))
+        if len(self.cache) + len(new) > self.most:
             self.cache.clear()
-        new = [p for p in pieces if p not in self.cache]
-        if new:
-            self.cache.update(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode(new))))
+            new = list(pieces)
+        self.cache.update(zip(new, self.encode(new)))
         return self.cache
 
-    def lengths(self, pieces: set[bytes]) -> dict[bytes, int]:
-        """A table that holds at least ``pieces``: how many ids each has."""
-        if len(self.counts) > self.most:
-            self.counts.clear()
-        new = [p for p in pieces if p not in self.counts]
-        if new:
-            self.counts.update(zip(new, map(len, self.encode(new))))
+    def lengths(self, pieces: set[str], known: dict[str, int]) -> dict[str, int]:
+        """A table that holds at least ``known`` and ``pieces`` with the number of their ids."""
+        if not self.counts or len(self.counts) > self.most:
+            self.counts = dict(known)
+        new = list(pieces.difference(self.counts))
+        self.counts.update(zip(new, (len(i) // 4 for i in self.encode(new))))
         return self.counts
 
 
@@ -119,23 +158,24 @@ def _trim(counts: Counter, capacity: int) -> None:
 
 def _pack(counts: Counter) -> dict:
     keys = list(counts)
+    utf8 = [k.encode() for k in keys]
     return {
-        "pieces": b"".join(keys), "sizes": np.fromiter(map(len, keys), "<u4", len(keys)).tobytes(),
+        "pieces": b"".join(utf8), "sizes": np.fromiter(map(len, utf8), "<u4", len(keys)).tobytes(),
         "counts": np.fromiter((counts[k] for k in keys), "<i8", len(keys)).tobytes(),
     }
 
 
 def _unpack(pieces: bytes, sizes: bytes, counts: bytes) -> Counter:
     ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-    return Counter(dict(zip((pieces[a:b] for a, b in zip([0, *ends], ends)), np.frombuffer(counts, "<i8").tolist())))
+    return Counter(dict(zip((pieces[a:b].decode() for a, b in zip([0, *ends], ends)), np.frombuffer(counts, "<i8").tolist())))
 
 
-def frequent_pieces(observations: DataFrame, cut: str, capacity: int) -> list[bytes]:
+def frequent_pieces(observations: DataFrame, cut: str, capacity: int) -> list[str]:
     """The most frequent pieces of all notes, at most ``capacity``, most frequent first.
 
     Every task sums its whole input into one summary of bounded size and only summaries travel, in
     three merging rounds of fixed width, so no piece is ever shuffled. A piece whose share is above
-    1 / capacity is always among them. Ties go by the bytes.
+    1 / capacity is always among them. Ties go by the piece.
     """
     summary = "part bigint, pieces binary, sizes binary, counts binary"
     arrow = pa.schema([("part", pa.int64()), ("pieces", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
@@ -149,10 +189,12 @@ def frequent_pieces(observations: DataFrame, cut: str, capacity: int) -> list[by
 
         total, pieces_of = Counter(), CUTS[cut]
         for part in slices(batches):
-            for note in part.column("note").to_pylist():
-                total.update(p for p in pieces_of(note) if len(p) < 64)
+            for note in texts(part.column("note").to_pylist()):
+                total.update(pieces_of(note))
             if len(total) > 8 * capacity:
                 _trim(total, capacity)
+        for piece in [p for p in total if len(p) > _LONG]:
+            del total[piece]
         _trim(total, capacity)
         yield row(TaskContext.get().partitionId(), total)
 
