@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs without ASCII white space, as ``bytes.split()`` cuts them.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,7 +23,8 @@ SLICE_BYTES = 4 << 20
 
 def noted(observations: DataFrame, *more: str | Column) -> DataFrame:
     """The id and the note (NULL read as empty), nothing else unless named."""
-    return observations.select("obs_id", F.coalesce(F.col("note"), F.lit("")).alias("note"), *more)
+    empty = F.lit(b"" if observations.schema["note"].dataType.typeName() == "binary" else "")
+    return observations.select("obs_id", F.coalesce(F.col("note"), empty).alias("note"), *more)
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -35,33 +38,28 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
                 yield batch.slice(lo, hi - lo)
 
 
-def map_notes(observations: DataFrame, make: Callable[[], Callable[[list[bytes]], dict]], columns: str, *more: str) -> DataFrame:
+def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]], columns: str, *more: str, given: list[str] = ()) -> DataFrame:
     """Per observation, the columns that ``make()(notes)`` returns beside ``obs_id`` (and ``more``).
 
-    ``make`` runs once a task. It gets the notes of a slice as bytes and returns one value list or
-    array per column of the DDL string ``columns``; a key ``"rows"`` with source row numbers turns
-    the map into one of zero or more rows per note.
+    ``make`` runs once a task. It gets the notes of a slice as bytes, then the values of the ``given``
+    columns, and returns one value list or array per column of the DDL string ``columns``; a key
+    ``"rows"`` with source row numbers turns the map into one of zero or more rows per note.
     """
-    source = noted(observations, *more).withColumn("note", F.col("note").cast("binary"))
-    kept = source.drop("note").schema
-    ddl = F.lit(None).cast(f"struct<{columns}>")
-    fields = observations.sparkSession.range(0).select(ddl.alias("x")).schema["x"].dataType
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType(kept.fields + fields.fields))
-    names = [f.name for f in kept.fields]
+    source = noted(observations, *more, *given).withColumn("note", F.col("note").cast("binary"))
+    kept = StructType([f for f in source.schema.fields if f.name not in ("note", *given)])
+    made = observations.sparkSession.range(0).select(F.lit(None).cast(f"struct<{columns}>").alias("x")).schema["x"].dataType
+    schema = StructType(kept.fields + made.fields)
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         work = make()
         for part in slices(batches):
-            out = work(part.column("note").to_pylist())
+            out = work(part.column("note").to_pylist(), *[part.column(g).to_pylist() for g in given])
             rows = out.pop("rows", None)
-            ids = [part.column(n) for n in names]
+            ids = [part.column(f.name) for f in kept]
             if rows is not None:
                 ids = [c.take(pa.array(rows, pa.int64())) for c in ids]
-            cols = ids + [pa.array(out[f.name], f.type) for f in arrow if f.name in out]
+            cols = ids + [pa.array(out[f.name], arrow.field(len(ids) + k).type) for k, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    return source.mapInArrow(run, StructType(kept.fields + fields.fields))
+    return source.mapInArrow(run, schema)

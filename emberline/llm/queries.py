@@ -86,3 +86,30 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.simhash import group_notes
 
     return back(group_notes(notes_of(spark, sf_dir), shingle_words=4, radius=4)).drop("note_hash")
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS at, w FROM words WHERE len(w) >= 35
+), windows AS (
+  SELECT doc_id, at, md5(array_to_string(w[at:at + 34], ' ')) AS h FROM places
+), again AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(at, at + 35)))) AS g FROM windows SEMI JOIN again USING (h) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE
+    list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(g, x[2])), lambda x: x[1]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.passages import drop_repeated_passages
+
+    kept = drop_repeated_passages(notes_of(spark, sf_dir), window=35)
+    return back(kept.select("obs_id", "n_words", "n_removed", F.sha2("note", 256).alias("kept_sha256")))
