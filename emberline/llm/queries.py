@@ -92,13 +92,13 @@ OP2_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), places AS (
-  SELECT doc_id, unnest(range(1, len(w) - 33)) AS at, w FROM words WHERE len(w) >= 35
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS pos, w FROM words WHERE len(w) >= 35
 ), windows AS (
-  SELECT doc_id, at, md5(array_to_string(w[at:at + 34], ' ')) AS h FROM places
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 34], ' ')) AS h FROM places
 ), again AS (
   SELECT h FROM windows GROUP BY h HAVING count(*) > 1
 ), gone AS (
-  SELECT doc_id, list_distinct(flatten(list(range(at, at + 35)))) AS g FROM windows SEMI JOIN again USING (h) GROUP BY doc_id
+  SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 35)))) AS g FROM windows SEMI JOIN again USING (h) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE
@@ -113,3 +113,37 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = drop_repeated_passages(notes_of(spark, sf_dir), window=35)
     return back(kept.select("obs_id", "n_words", "n_removed", F.sha2("note", 256).alias("kept_sha256")))
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n FROM documents
+), ring AS (
+  SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM docs
+), edited AS (
+  SELECT *, left(t, n - n // 3) || left(nt, n // 3) AS e FROM ring
+), texts AS (
+  SELECT doc_id, 0 AS k, t AS x FROM edited UNION ALL SELECT doc_id, 1, e FROM edited UNION ALL SELECT doc_id, 2, nt FROM edited
+), words AS (
+  SELECT doc_id, k, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM texts
+), hashed AS (
+  SELECT doc_id, k, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE
+    list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: left(md5(array_to_string(w[i:i + 4], ' ')), 12)) END AS h FROM words
+), sketch AS (
+  SELECT doc_id, k, CASE WHEN len(h) = 0 THEN h WHEN len(list_filter(h, lambda x: x < '400000000000')) = 0 THEN [list_min(h)]
+    ELSE list_sort(list_distinct(list_filter(h, lambda x: x < '400000000000'))) END AS s FROM hashed
+), wide AS (
+  SELECT doc_id, max(s) FILTER (k = 0) AS a, max(s) FILTER (k = 1) AS b, max(s) FILTER (k = 2) AS c FROM sketch GROUP BY doc_id
+)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END::DOUBLE AS near_edited,
+  CASE WHEN len(a) = 0 AND len(c) = 0 THEN 1.0 WHEN least(len(a), len(c)) = 0 THEN 0.0 ELSE len(list_intersect(a, c)) / least(len(a), len(c)) END::DOUBLE AS near_next
+FROM edited JOIN wide USING (doc_id)
+"""
+
+
+@query("op1_fingerprints", OP1_SQL)
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.fingerprints import fingerprint_edits
+
+    return back(fingerprint_edits(notes_of(spark, sf_dir), fraction=0.25, shingle_words=5))
