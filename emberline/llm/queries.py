@@ -147,3 +147,29 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.fingerprints import fingerprint_edits
 
     return back(fingerprint_edits(notes_of(spark, sf_dir), fraction=0.25, shingle_words=5))
+
+
+OP6_SQL = r"""
+WITH good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach AS (
+  WITH RECURSIVE r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a)
+  SELECT a, min(b) AS component_id FROM r GROUP BY a
+), degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN degree ON degree.a = vec_id JOIN reach ON reach.a = vec_id
+"""
+
+
+@query("op6_vector_dedup", OP6_SQL)
+def vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.vectors import near_duplicate_cells
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cells = table.select(F.col("vec_id").alias("cell_id"), F.col("label").alias("fire"), F.col("embedding").alias("features"))
+    return near_duplicate_cells(cells, least=0.93).withColumnRenamed("cell_id", "vec_id")
