@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,3 +64,37 @@ def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]],
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+HERE = ("obs_id", "note_hash")
+
+
+def placed(observations: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """obs_id, note, note_hash and the ``carry`` columns in a struct of their own.
+
+    Rows are known by id and hash of the note, so that rows with one id stay apart, and rows that agree
+    in both are alike in everything an operator decides.
+    """
+    extra = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(0).alias("_"))
+    return observations.select("obs_id", "note", F.xxhash64(F.coalesce(F.col("note"), F.lit(""))).alias("note_hash"), extra.alias("__carry"))
+
+
+def map_notes_beside(source: DataFrame, table: DataFrame, how: str, make: Callable[[], Callable[..., dict]], columns: str, *more: str) -> DataFrame:
+    """``map_notes`` over ``placed`` notes joined to a table of decisions by id and hash of the note.
+
+    The notes cross the network compressed. ``make()`` gets the notes and the table's last column.
+    """
+
+    def squeeze():
+        pack = zstandard.ZstdCompressor(level=1)
+        return lambda notes: {"z": [pack.compress(n) for n in notes]}
+
+    def opened():
+        work, unpack = make(), zstandard.ZstdDecompressor()
+        return lambda notes, given: work([unpack.decompress(n) for n in notes], given)
+
+    given = table.columns[-1]
+    side = table.select(F.col("obs_id").alias("__i"), F.col("note_hash").alias("__h"), given)
+    packed = map_notes(source, squeeze, "z binary", "note_hash", "__carry")
+    both = packed.join(side, F.col("obs_id").eqNullSafe(F.col("__i")) & (F.col("note_hash") == F.col("__h")), how)
+    return map_notes(both.withColumnRenamed("z", "note"), opened, columns, *more, given=[given])

@@ -19,11 +19,10 @@ from itertools import repeat
 
 import numpy as np
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.notes import map_notes, noted
+from emberline.llm.notes import HERE, map_notes, map_notes_beside, placed
 from emberline.session import cut_lineage
 
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two rolling hashes
@@ -132,13 +131,13 @@ def drop_repeated_passages(observations: DataFrame, window: int = 35, seed: int
     empty one. Blocks travel as pairs of 64-bit hashes and single windows as 128 bits.
 
     A passage in many notes is counted before it is joined to anything, its occurrences are never paired
-    with one another, and the joins are between stored tables, so that a hot key can be split.
+    with one another, and the joins are between stored tables, so that a hot key can be split. The text
+    crosses the network twice, compressed: where boundaries are checked, and for the result.
     """
     if not 0 < seed <= window:
         raise ValueError("a seed lies within the window")
-    spark_cols = [F.xxhash64(F.coalesce(F.col("note"), F.lit(""))).alias("note_hash"), (F.struct(*carry) if carry else F.struct(F.lit(0).alias("_"))).alias("__carry")]
-    source = observations.select("obs_id", "note", *spark_cols)
-    here = ["obs_id", "note_hash"]
+    source = placed(observations, carry)
+    here = list(HERE)
 
     def index():
         return lambda notes: blocks_of([n.split() for n in notes], window, seed)
@@ -153,24 +152,11 @@ def drop_repeated_passages(observations: DataFrame, window: int = 35, seed: int
     whole = found.where("NOT mixed").unionByName(mixed.join(again, (F.col("anchor") == F.col("__a")) & (F.col("block") == F.col("__b")), "left_semi"))
     spans = whole.select(*here, F.col("first").alias("lo"), (F.col("first") + F.col("windows") + (window - 1)).alias("hi"))
 
-    def squeeze():
-        pack = zstandard.ZstdCompressor(level=1)
-        return lambda notes: {"z": [pack.compress(n) for n in notes]}
-
-    # The text crosses the network twice, compressed: once where boundaries are checked, once for the result.
-    texts = map_notes(source, squeeze, "z binary", "note_hash", "__carry")
-
-    def beside(table: DataFrame, how: str) -> DataFrame:
-        side = table.select(F.col("obs_id").alias("__i"), F.col("note_hash").alias("__h"), *[c for c in table.columns if c not in here])
-        return texts.join(side, F.col("obs_id").eqNullSafe(F.col("__i")) & (F.col("note_hash") == F.col("__h")), how).drop("__i", "__h")
-
     opened = kinds.select("one.*").groupBy(*here).agg(F.collect_set(F.struct("first", "windows")).alias("open"))
 
     def boundary():
-        unpack = zstandard.ZstdDecompressor()
-
         def check(notes: list[bytes], opened: list) -> dict:
-            cut = [unpack.decompress(n).split() for n in notes]
+            cut = [n.split() for n in notes]
             hashes = word_hashes([w for c in cut for w in c])
             begin = np.cumsum([0, *map(len, cut)])
             asked = [(r, o["first"], o["windows"]) for r, of in enumerate(opened) for o in of]
@@ -182,19 +168,16 @@ def drop_repeated_passages(observations: DataFrame, window: int = 35, seed: int
 
         return check
 
-    windows = cut_lineage(map_notes(beside(opened, "inner").withColumnRenamed("z", "note"), boundary, "at int, w1 bigint, w2 bigint", "note_hash", given=["open"]))
+    windows = cut_lineage(map_notes_beside(source, opened, "inner", boundary, "at int, w1 bigint, w2 bigint", "note_hash"))
     twice = cut_lineage(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w1").alias("__1"), F.col("w2").alias("__2")))
     edges = windows.join(twice, (F.col("w1") == F.col("__1")) & (F.col("w2") == F.col("__2")), "left_semi")
     spans = spans.unionByName(edges.select(*here, F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
     factors = spans.groupBy(*here).agg(F.collect_set(F.struct("lo", "hi")).alias("factors"))
 
     def remove():
-        unpack = zstandard.ZstdDecompressor()
-
         def cover(notes: list[bytes], factors: list) -> dict:
             out = {"note": [], "n_words": [], "n_removed": []}
-            for z, of in zip(notes, factors):
-                note = unpack.decompress(z)
+            for note, of in zip(notes, factors):
                 words = note.split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for f in of or ():
@@ -208,5 +191,5 @@ def drop_repeated_passages(observations: DataFrame, window: int = 35, seed: int
 
         return cover
 
-    left = map_notes(beside(factors, "left").withColumnRenamed("z", "note"), remove, "note string, n_words bigint, n_removed bigint", "__carry", given=["factors"])
+    left = map_notes_beside(source, factors, "left", remove, "note string, n_words bigint, n_removed bigint", "__carry")
     return left.select("obs_id", "note", "n_words", "n_removed", *[F.col(f"__carry.`{c}`") for c in carry])

@@ -173,3 +173,11 @@ def vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     cells = table.select(F.col("vec_id").alias("cell_id"), F.col("label").alias("fire"), F.col("embedding").alias("features"))
     return near_duplicate_cells(cells, least=0.93).withColumnRenamed("cell_id", "vec_id")
+
+
+@query("op3_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.lines import drop_recurring_lines
+
+    kept = drop_recurring_lines(notes_of(spark, sf_dir))
+    return back(kept.select("obs_id", "n_lines", "n_dropped", F.sha2("note", 256).alias("kept_sha256")))
