@@ -6,6 +6,7 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,3 +188,18 @@ def score_notes(observations: DataFrame, model: AdditiveModel, keep_from: float
 
     scored = map_notes(noted(observations), make, "score double")
     return scored.withColumn("predicted", (F.col("score") >= keep_from).cast("int"))
+
+
+def keep_reliable(observations: DataFrame, model: AdditiveModel, keep_from: float = 0.3) -> DataFrame:
+    """The rows of ``observations``, all columns, whose note scores ``keep_from`` or more.
+
+    The same scores as ``score_notes``; a NULL note is judged as an empty one and stays NULL if kept.
+    """
+    sent = observations.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(notes: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(note_features(notes.tolist())))
+
+    whole = F.coalesce(F.col("note"), F.lit("")).cast("binary")
+    return observations.where(score(whole) >= keep_from)

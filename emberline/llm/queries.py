@@ -85,7 +85,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.simhash import group_notes
 
-    return back(group_notes(notes_of(spark, sf_dir), shingle_words=4, radius=4)).drop("note_hash")
+    return back(group_notes(notes_of(spark, sf_dir), shingle_words=4, radius=4))
 
 
 OP2_SQL = r"""

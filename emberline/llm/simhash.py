@@ -159,8 +159,16 @@ def close_fingerprints(fingerprints: DataFrame, radius: int = 4, share: int = 51
     return dealt.mapInArrow(link, "a bigint, b bigint")
 
 
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, component): of the different fingerprints of ``rows``."""
+    nodes = cut_lineage(rows.select("fingerprint").distinct())
+    parts = components(close_fingerprints(nodes, radius))
+    placed = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left")
+    return cut_lineage(placed.select(F.col("fingerprint").alias("__f"), F.coalesce("component", "fingerprint").alias("component")))
+
+
 def group_notes(observations: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """obs_id, note_hash, fingerprint (16 lowercase hex digits), component_id per observation.
+    """obs_id, fingerprint (16 lowercase hex digits), component_id per observation.
 
     Notes whose fingerprints differ in ``radius`` bits or fewer are linked; ``component_id`` is the
     smallest obs_id that links can reach, itself included. Copies share a fingerprint and are one node
@@ -170,10 +178,28 @@ def group_notes(observations: DataFrame, shingle_words: int = 4, radius: int = 4
     gives an empty one.
     """
     rows = cut_lineage(fingerprint_notes(observations, shingle_words))
-    nodes = cut_lineage(rows.groupBy("fingerprint").agg(F.min("obs_id").alias("first_id")))
-    parts = components(close_fingerprints(nodes.select("fingerprint"), radius))
-    placed = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
-    lowest = cut_lineage(placed.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = cut_lineage(placed.join(lowest, "component").select(F.col("fingerprint").alias("__f"), "component_id"))
+    parts = _components(rows, radius)
+    first = rows.groupBy("fingerprint").agg(F.min("obs_id").alias("first_id"))
+    placed = first.join(parts, F.col("fingerprint") == F.col("__f"))
+    lowest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = cut_lineage(placed.select("component", F.col("fingerprint").alias("__f")).join(lowest, "component").select("__f", "component_id"))
     out = rows.join(named, F.col("fingerprint") == F.col("__f"))
-    return out.select("obs_id", "note_hash", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("obs_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_group(observations: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of ``observations``, all columns, that stay when each group of near-duplicate notes keeps one.
+
+    Groups are those of ``group_notes``. The row of the smallest obs_id stays (NULL last, then the
+    smaller hash of the note); of rows that agree in id and note, one.
+    """
+    rows = cut_lineage(fingerprint_notes(observations, shingle_words))
+    parts = _components(rows, radius)
+    named = rows.join(parts, F.col("fingerprint") == F.col("__f"))
+    order = F.struct(F.col("obs_id").isNull().alias("none"), F.coalesce("obs_id", F.lit(0)).alias("id"), F.col("note_hash").alias("hash"))
+    kept = named.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
+    kept = cut_lineage(kept.select(*[F.col(c).alias(f"__k_{c}") for c in ("none", "id", "hash")]))
+    keys = {"__none": F.col("obs_id").isNull(), "__id": F.coalesce("obs_id", F.lit(0)), "__hash": F.xxhash64(F.coalesce(F.col("note"), F.lit("")))}
+    tagged = observations.withColumns(keys)
+    stay = tagged.join(kept, (F.col("__none") == F.col("__k_none")) & (F.col("__id") == F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
+    return stay.dropDuplicates(list(keys)).drop(*keys)
