@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.frames import M2_PER_ACRE
+from emberline.functions.graph import components as linked
 from emberline.session import cut_lineage
 
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -130,44 +131,34 @@ def coarsen(cells: DataFrame, keys: list[str], n: int) -> DataFrame:
     ).distinct()
 
 
-def components(cells: DataFrame, keys: list[str], eight: bool = False, max_rounds: int = 200) -> DataFrame:
+def components(cells: DataFrame, keys: list[str], eight: bool = False) -> DataFrame:
     """Connected parts: adds ``comp``, the smallest packed cell id of the part.
 
-    Cells are first joined into horizontal runs, so a filled shape enters the label
-    rounds as one node per row span. Each round takes the smallest neighbouring label
-    and then jumps to that label's own label; rounds are checkpointed.
+    Cells are first joined into horizontal runs, so a filled shape enters the label rounds as one
+    node per row span; the rounds alternate large and small stars and grow as the logarithm of the
+    longest chain of runs.
     """
     pack = F.col("iy").cast("bigint") * F.lit(1 << 31) + F.col("ix").cast("bigint")
     base = cells.select(*keys, "ix", "iy").distinct()
     # One grid row of one key at a time: its length is the grid's width.
     row = Window.partitionBy(*keys, "iy").orderBy("ix")
-    island = F.col("ix") - F.row_number().over(row)
-    base = base.withColumn("__g", island)
-    base = base.withColumn("id", F.min(pack).over(Window.partitionBy(*keys, "iy", "__g"))).drop("__g")
-    base = cut_lineage(base)
-    lean = [(dx, 1) for dx in ((-1, 0, 1) if eight else (0,))]
-    up = base.select(*keys, F.col("id").alias("src"), "ix", "iy", _shifts(lean).alias("o")).select(
-        *keys, "src", (F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy")
-    )
-    links = up.join(base.withColumnRenamed("id", "dst"), [*keys, "ix", "iy"]).select(*keys, "src", "dst").distinct()
-    links = cut_lineage(links.unionByName(links.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    labels = cut_lineage(base.select(*keys, "id").distinct().withColumn("comp", F.col("id")))
-    for _ in range(max_rounds):
-        offer = links.join(labels.select(*keys, F.col("id").alias("src"), "comp"), [*keys, "src"])
-        best = (
-            offer.select(*keys, F.col("dst").alias("id"), "comp", F.lit(None).cast("bigint").alias("own"))
-            .unionByName(labels.select(*keys, "id", "comp", F.col("comp").alias("own")))
-            .groupBy(*keys, "id")
-            .agg(F.min("comp").alias("m"), F.max("own").alias("own"))
-        )
-        hop = labels.select(*keys, F.col("id").alias("m"), F.col("comp").alias("mm"))
-        nxt = best.join(hop, [*keys, "m"], "left").select(*keys, "id", F.least("m", F.coalesce("mm", "m")).alias("comp"), "own")
-        nxt = cut_lineage(nxt)
-        settled = nxt.where("comp <> own").isEmpty()
-        labels = nxt.drop("own")
-        if settled:
-            return base.join(labels, [*keys, "id"]).drop("id")
-    raise RuntimeError("component labels did not settle; raise max_rounds")
+    base = base.withColumn("__g", F.col("ix") - F.row_number().over(row))
+    runs = base.groupBy(*keys, "iy", "__g").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"), F.min(pack).alias("id"))
+    runs = cut_lineage(runs.drop("__g").withColumn("node", F.monotonically_increasing_id()))
+    # Runs of neighbouring rows touch where their spans (widened by one at the corners) overlap.
+    reach = 1 if eight else 0
+    tile = 64
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / tile), F.floor(hi / tile)))
+    lower = runs.select(*keys, (F.col("iy") + 1).alias("iy"), F.col("node").alias("a"), (F.col("lo") - reach).alias("alo"), (F.col("hi") + reach).alias("ahi"))
+    lower = lower.withColumn("__t", span(F.col("alo"), F.col("ahi")))
+    upper = runs.select(*keys, "iy", F.col("node").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    upper = upper.withColumn("__t", span(F.col("blo"), F.col("bhi")))
+    links = lower.join(upper, [*keys, "iy", "__t"]).where("alo <= bhi AND blo <= ahi").select("a", "b").distinct()
+    labels = linked(links).withColumnRenamed("node", "__n")
+    placed = runs.join(labels, F.col("node") == F.col("__n"), "left").withColumn("__c", F.coalesce("component", "node"))
+    names = placed.groupBy("__c").agg(F.min("id").alias("comp"))
+    named = cut_lineage(placed.join(names, "__c").select(*keys, "iy", "lo", "hi", "comp"))
+    return named.select(*keys, F.explode(F.sequence("lo", "hi")).alias("ix"), "iy", "comp")
 
 
 def nearest_component(parts: DataFrame, origin: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ KEYS = ["fire", "step"]
 CELL = [*KEYS, "ix", "iy"]
 
 # Fixed values of the field model.
-GRID_KM, MAX_CELLS, GRID_GROWTH, MARGIN_KM, MIN_CELLS = 0.25, 30_000, 1.4, 2.0, 10
+GRID_KM, GRID_GROWTH, MARGIN_KM, MIN_CELLS = 0.25, 1.4, 2.0, 10
 COUNT_RADII = [1, 2, 3, 5]
 TURN_RADII = [("surround05", 0.5), ("surround1", 1.0), ("surround2", 2.0), ("surround4", 4.0), ("surround8", 8.0)]
 REACH_KM, ANGLE_BINS = 8.0, 72
@@ -103,8 +103,12 @@ def sites(local: DataFrame) -> DataFrame:
     )
 
 
-def grid_frames(frame: DataFrame, local: DataFrame, grid_km: float = GRID_KM, max_cells: int = MAX_CELLS) -> DataFrame:
-    """Grid origin, spacing and size per step; spacing grows until the cell cap holds."""
+def grid_frames(frame: DataFrame, local: DataFrame, grid_km: float = GRID_KM, max_cells: int | None = None) -> DataFrame:
+    """Grid origin, spacing and size per step: one spacing ``grid_km`` for all steps of a run.
+
+    With ``max_cells`` the spacing of a step grows by GRID_GROWTH until that many cells hold it; features,
+    labels and acreage then depend on the size of the fire, so nothing here asks for it by default.
+    """
     ext = local.groupBy(*KEYS).agg(
         F.min("x").alias("dx0"), F.max("x").alias("dx1"), F.min("y").alias("dy0"), F.max("y").alias("dy1"), F.count("*").alias("n_dets")
     )
@@ -115,13 +119,16 @@ def grid_frames(frame: DataFrame, local: DataFrame, grid_km: float = GRID_KM, ma
         }
     )
     count = lambda lo, hi, s: F.greatest(frames.truncate((F.col(hi) - F.col(lo)) / s), F.lit(1).cast("bigint"))
-    grow = lambda s, _i: F.when(count("x0", "x1", s) * count("y0", "y1", s) > max_cells, s * F.lit(GRID_GROWTH)).otherwise(s)
-    g = g.withColumn("grid_km", F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(float(grid_km)), grow))
+    spacing = F.lit(float(grid_km))
+    if max_cells is not None:
+        grow = lambda s, _i: F.when(count("x0", "x1", s) * count("y0", "y1", s) > max_cells, s * F.lit(GRID_GROWTH)).otherwise(s)
+        spacing = F.aggregate(F.sequence(F.lit(1), F.lit(64)), spacing, grow)
+    g = g.withColumn("grid_km", spacing)
     return g.withColumns({"nx": count("x0", "x1", F.col("grid_km")), "ny": count("y0", "y1", F.col("grid_km"))}).drop("dx0", "dx1", "dy0", "dy1")
 
 
 def lattice(grid: DataFrame) -> DataFrame:
-    """Every grid cell centre; cells per step are capped, so the explode is bounded."""
+    """Every grid cell centre, row by row."""
     rows = grid.select(*KEYS, "x0", "y0", "grid_km", "nx", F.explode(F.sequence(F.lit(0), (F.col("ny") - 1).cast("int"))).alias("iy"))
     rows = rows.select(*KEYS, "x0", "y0", "grid_km", "iy", F.explode(F.sequence(F.lit(0), (F.col("nx") - 1).cast("int"))).alias("ix"))
     return rows.select(
@@ -301,14 +308,11 @@ def label_cells(cells: DataFrame, target_km: DataFrame) -> DataFrame:
 
 
 def negative_sample(labelled: DataFrame, ratio: float = NEGATIVE_RATIO, floor: int = NEGATIVE_FLOOR, seed: int = 0) -> DataFrame:
-    """All positives and a seeded share of negatives per step; a step is at most one capped grid."""
-    order = F.xxhash64(*[F.col(c) for c in CELL], F.lit(seed))
-    w = Window.partitionBy(*KEYS)
-    ranked = labelled.withColumns(
-        {"__pos": F.sum("label").over(w), "__rn": F.row_number().over(Window.partitionBy(*KEYS, "label").orderBy(order, "iy", "ix"))}
-    )
-    quota = F.greatest(frames.truncate(F.col("__pos") * F.lit(ratio)), F.lit(floor).cast("bigint"))
-    return ranked.where((F.col("label") == 1) | (F.col("__rn") <= quota)).drop("__pos", "__rn")
+    """All positives and a seeded share of negatives per step, those of the smallest hash."""
+    key = F.xxhash64(*[F.col(c) for c in CELL], F.lit(seed))
+    wanted = labelled.groupBy(*KEYS).agg(F.greatest(frames.truncate(F.sum("label") * F.lit(ratio)), F.lit(floor).cast("bigint")).alias("__take"))
+    negative = first_of_steps(labelled.where("label <> 1"), F.shiftright(key, 58), [key, F.col("iy"), F.col("ix")], wanted)
+    return labelled.where("label = 1").unionByName(negative)
 
 
 def cohort_balance(labelled: DataFrame, kept: DataFrame) -> DataFrame:
@@ -376,16 +380,30 @@ def rule_score(n2: Column, n5: Column, d_near: Column) -> Column:
     return F.round(n2 / (n5 + F.lit(1.0)) * F.exp(-d_near), 9)
 
 
-def topk_mass(scored: DataFrame, k: float = 1.0) -> DataFrame:
-    """The floor(k * sum p) most likely cells of each step; a step is one capped grid."""
-    w = Window.partitionBy(*KEYS)
-    ranked = scored.withColumns(
-        {
-            "__take": F.least(F.greatest(frames.truncate(F.sum("p").over(w) * F.lit(float(k))), F.lit(0).cast("bigint")), F.count("*").over(w)),
-            "__rn": F.row_number().over(w.orderBy(F.desc("p"), "iy", "ix")),
-        }
-    )
-    return ranked.where(F.col("__rn") <= F.col("__take")).drop("__take", "__rn")
+def topk_mass(scored: DataFrame, k: float = 1.0, slots: int = 64) -> DataFrame:
+    """The floor(k * sum p) most likely cells of each step; ties go to the smaller (iy, ix)."""
+    wanted = scored.groupBy(*KEYS).agg(F.least(F.greatest(frames.truncate(F.sum("p") * F.lit(float(k))), F.lit(0).cast("bigint")), F.count("*")).alias("__take"))
+    slot = F.lit(0) - F.least(F.greatest(F.floor(F.col("p") * slots), F.lit(0)), F.lit(slots - 1))
+    return first_of_steps(scored, slot, [F.desc("p"), F.col("iy"), F.col("ix")], wanted)
+
+
+def first_of_steps(rows: DataFrame, slot: Column, order: list, wanted: DataFrame, shares: int = 32) -> DataFrame:
+    """The first ``__take`` rows of each step in ``order``, without sorting a step in one task.
+
+    ``slot`` ascends with the order. Counts per slot tell in which one a step's last row lies: slots before
+    it are taken whole, and only its own rows are ranked, first within shares of a step, then those that
+    may be taken.
+    """
+    tagged = rows.withColumn("__s", slot)
+    before = Window.partitionBy(*KEYS).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    depth = tagged.groupBy(*KEYS, "__s").agg(F.count("*").alias("n")).join(wanted, KEYS)
+    quota = depth.withColumn("__q", F.col("__take") - F.coalesce(F.sum("n").over(before), F.lit(0))).where("__q > 0")
+    taken = tagged.join(quota.select(*KEYS, "__s", "__q", (F.col("n") <= F.col("__q")).alias("__all")), [*KEYS, "__s"])
+    edge = taken.where("NOT __all")
+    share = F.pmod(F.xxhash64("ix", "iy"), F.lit(shares))
+    for part in ([*KEYS, share], KEYS):
+        edge = edge.withColumn("__r", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("__r") <= F.col("__q"))
+    return taken.where("__all").unionByName(edge.drop("__r")).select(*rows.columns)
 
 
 def base_cells(base_km: DataFrame, grid: DataFrame, n: int) -> DataFrame:
@@ -399,17 +417,34 @@ def base_cells(base_km: DataFrame, grid: DataFrame, n: int) -> DataFrame:
     return points_inside(pts, base_km, KEYS, ["ix", "iy"], GRID_KM / n, balance=False).select(*CELL)
 
 
-def predict_perimeter(scored: DataFrame, base_km: DataFrame, grid: DataFrame, local: DataFrame, k: float = 1.0, n: int = 5) -> DataFrame:
+def drop_cells(drops: DataFrame, grid: DataFrame, sub: float, width_km: float = 0.3) -> DataFrame:
+    """Sub-cells whose centre lies within ``width_km`` of a drop leg (x1, y1, x2, y2), point to segment."""
+    legs = drops.join(grid.select(*KEYS, "x0", "y0"), KEYS)
+    idx = lambda v, o: F.floor((v - F.col(o)) / sub)
+    rows = legs.withColumn("iy", F.explode(F.sequence(idx(F.least("y1", "y2") - width_km, "y0"), idx(F.greatest("y1", "y2") + width_km, "y0"))))
+    rows = rows.withColumn("y", F.col("y0") + (F.col("iy") + F.lit(0.5)) * sub)
+    # Within one grid row the buffer spans no more than the part of the leg whose y is near, widened.
+    dy = F.col("y2") - F.col("y1")
+    at = lambda y: F.when(F.abs(dy) < 1e-12, F.lit(None)).otherwise(frames.clip((y - F.col("y1")) / dy, 0.0, 1.0))
+    ua, ub = F.coalesce(at(F.col("y") - width_km), F.lit(0.0)), F.coalesce(at(F.col("y") + width_km), F.lit(1.0))
+    xa, xb = F.col("x1") + ua * (F.col("x2") - F.col("x1")), F.col("x1") + ub * (F.col("x2") - F.col("x1"))
+    cols = rows.withColumn("ix", F.explode(F.sequence(idx(F.least(xa, xb) - width_km, "x0"), idx(F.greatest(xa, xb) + width_km, "x0"))))
+    cols = cols.withColumn("x", F.col("x0") + (F.col("ix") + F.lit(0.5)) * sub)
+    near = frames.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= width_km
+    return cols.where(near).select(*CELL).distinct()
+
+
+def predict_perimeter(scored: DataFrame, base_km: DataFrame, grid: DataFrame, local: DataFrame, k: float = 1.0, n: int = 5,
+                      grid_km: float = GRID_KM, drops: DataFrame | None = None) -> DataFrame:
     """Final perimeter as sub-cells: top mass, closed, joined with the base, strays dropped, smoothed.
 
-    Works on steps of one grid spacing at a time (``grid`` filtered by the caller), so
-    that buffers in cells have one size. Sub-cells are grid_km / n wide (50 m at 0.25 km),
-    fine enough for the 0.2 km close and the 0.35 km smooth to act.
+    All steps of a run share the spacing ``grid_km``, so buffers in cells have one size. Sub-cells are
+    grid_km / n wide (50 m at 0.25 km), fine enough for the 0.2 km close and the 0.35 km smooth to act.
+    A step without scored cells is persistence: its base comes back untouched. ``drops`` are drop legs in
+    the step's frame (fire, step, x1, y1, x2, y2): their 300 m buffers join the perimeter where they lie
+    within 0.6 km of it.
     """
-    spacing = grid.select("grid_km").first()
-    if spacing is None:
-        return base_cells(base_km, grid, n)
-    sub = spacing["grid_km"] / n
+    sub = grid_km / n
     top = C.subdivide(topk_mass(scored, k).select(*CELL), KEYS, n)
     grown = C.close(top, KEYS, 0.2 / sub)
     base = cut_lineage(base_cells(base_km, grid, n))
@@ -420,4 +455,11 @@ def predict_perimeter(scored: DataFrame, base_km: DataFrame, grid: DataFrame, lo
         "sensor",
     )
     kept = C.drop_stray(parts, base, placed, KEYS, 0.5 / sub)
-    return C.smooth(cut_lineage(kept.select(*CELL)), KEYS, 0.35 / sub)
+    out = C.smooth(cut_lineage(kept.select(*CELL)), KEYS, 0.35 / sub)
+    still = base.join(scored.select(*KEYS).distinct(), KEYS, "left_anti")
+    out = out.join(scored.select(*KEYS).distinct(), KEYS, "left_semi").unionByName(still.select(*CELL))
+    if drops is None:
+        return out
+    out = cut_lineage(out)
+    near = C.dilate(out, KEYS, 0.6 / sub)
+    return C.union(out, C.intersect(drop_cells(drops, grid, sub), near, KEYS), KEYS)
