@@ -27,15 +27,15 @@ TURN_RADII = [("surround05", 0.5), ("surround1", 1.0), ("surround2", 2.0), ("sur
 REACH_KM, ANGLE_BINS = 8.0, 72
 NEGATIVE_RATIO, NEGATIVE_FLOOR = 6.0, 200
 MODEL_SETTINGS = {"maxIter": 220, "maxDepth": 7, "stepSize": 0.08, "minInstancesPerNode": 60, "seed": 0}
-FEATURES = (
-    "d_near frp_near t_near d_edge d_edge_rel d_near_rel "
-    "n1 frpmax1 frpsum1 tmax1 viirs1 n2 frpmax2 frpsum2 tmax2 viirs2 "
-    "n3 frpmax3 frpsum3 tmax3 viirs3 n5 frpmax5 frpsum5 tmax5 viirs5 "
-    "base_r log_base log_win log_ndet frp_med frp_p90 frp_near_rel frpmax2_rel grid_km "
-    "d_edge_minus_det toward_base toward_base_norm "
-    "surround2 surround4 push_here in_champ push_rel aniso_axis aniso_centroid "
-    "surround05 surround1 surround8 dens_r12 dens_r25 t_first_near t_first2 elev_rel slope_deg elev_minus_det"
-).split()
+FEATURES = [
+    "d_near", "frp_near", "t_near", "d_edge", "d_edge_rel", "d_near_rel",
+    "n1", "frpmax1", "frpsum1", "tmax1", "viirs1", "n2", "frpmax2", "frpsum2", "tmax2", "viirs2",
+    "n3", "frpmax3", "frpsum3", "tmax3", "viirs3", "n5", "frpmax5", "frpsum5", "tmax5", "viirs5",
+    "base_r", "log_base", "log_win", "log_ndet", "frp_med", "frp_p90", "frp_near_rel", "frpmax2_rel", "grid_km",
+    "d_edge_minus_det", "toward_base", "toward_base_norm",
+    "surround2", "surround4", "push_here", "in_champ", "push_rel", "aniso_axis", "aniso_centroid",
+    "surround05", "surround1", "surround8", "dens_r12", "dens_r25", "t_first_near", "t_first2", "elev_rel", "slope_deg", "elev_minus_det",
+]
 KM2_TO_ACRES = 247.105
 
 

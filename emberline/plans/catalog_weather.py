@@ -102,7 +102,7 @@ def _(spark, sf):
     return W.danger_class(view(spark, sf, "weather")).select("seq", "danger_score", "danger")
 
 
-FUELS_SQL = "fuels(code,load_1h,load_herb,sav,depth,mx) AS (VALUES " + ",".join("(" + ",".join([str(r[0])] + [f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in r[1:]]) + ")" for r in W.fuel_rows()) + ")"
+FUELS_SQL = "fuels(code,load_1h,load_herb,sav,depth,mx) AS (VALUES " + ",".join("(" + ",".join([str(r[0])] + [f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in r[1:]]) + ")" for r in [(c, *map(float, v)) for c, *v in W.FUELS]) + ")"
 
 
 @query("j15_fuel_params", cte("raster") + f", {FUELS_SQL} SELECT cell, load_1h, sav, mx FROM raster LEFT JOIN fuels ON fuel + (cell % 3) * 20 = code", "load_1h sav mx")
