@@ -170,24 +170,26 @@ def condition_weight(obs: DataFrame) -> DataFrame:
     return obs.withColumn("cond_w", F.greatest(w, F.lit(0.05)))
 
 
-def elongate(field: DataFrame, winds: DataFrame, value: str = "p", reach: int = 8) -> DataFrame:
+def elongate(field: DataFrame, winds: DataFrame, value: str = "p") -> DataFrame:
     """Smear belief along the wind, then evenly, and restore each fire's peak.
 
     The oriented Gaussian (1 across, 1 + 1.2 min(lb-1, 3) along, then 0.7 all round, so
-    variances add) is laid out as offsets; no image is rotated. ``winds``: (fire, bearing, lb).
+    variances add) is laid out as the offsets within four sigma of it; no image is rotated.
+    ``winds``: (fire, bearing, lb).
     """
-    n = range(-reach, reach + 1)
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in n for dy in n])
+    reach = math.ceil(4 * math.sqrt((1 + 1.2 * 3) ** 2 + 0.49))  # of the longest kernel there is
+    offs = F.expr(f"flatten(transform(sequence(-{reach}, {reach}), x -> transform(sequence(-{reach}, {reach}), y -> struct(x AS dx, y AS dy))))")
     wf = winds.select(
         "fire", F.radians("bearing").alias("__b"), (F.pow(F.lit(1.0) + F.lit(1.2) * F.least(F.col("lb") - 1, F.lit(3.0)), F.lit(2.0)) + 0.49).alias("__va")
     )
     kern = wf.withColumn("o", F.explode(offs))
     along = F.col("o.dx") * F.sin("__b") + F.col("o.dy") * F.cos("__b")
     across = F.col("o.dx") * F.cos("__b") - F.col("o.dy") * F.sin("__b")
-    kern = kern.select("fire", "o.dx", "o.dy", F.exp(-0.5 * (along * along / F.col("__va") + across * across / F.lit(1.49))).alias("k"))
+    kern = kern.withColumn("__q", along * along / F.col("__va") + across * across / F.lit(1.49)).where("__q <= 16")
+    kern = kern.select("fire", "o.dx", "o.dy", F.exp(-0.5 * F.col("__q")).alias("k"))
     total = kern.groupBy("fire").agg(F.sum("k").alias("__s"))
     kern = kern.join(total, "fire").select("fire", "dx", "dy", (F.col("k") / F.col("__s")).alias("k"))
-    # 289 kernel rows per fire; cells of a fire are bounded by its grid.
+    # At most some 290 kernel rows per fire.
     sent = field.select(*CELL, value).join(kern, "fire").select(
         "fire", (F.col("ix") + F.col("dx")).alias("ix"), (F.col("iy") + F.col("dy")).alias("iy"), (F.col(value) * F.col("k")).alias("s")
     )
@@ -227,13 +229,32 @@ def warm_pixel_evidence(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     return disc_mask(used.select("fire", "lat", "lon", (F.col("radius_km") * F.lit(1000.0 / frames.M_PER_DEG)).alias("radius_deg")), grid)
 
 
-def path_evidence(segments: DataFrame, grid: DataFrame, radius_m: float = 400.0, steps: int = 16) -> DataFrame:
-    """Paths buffered by ``radius_m``: legs (fire, x1, y1, x2, y2) densified, discs at the points."""
-    t = F.col("i") / F.lit(float(steps))
-    pts = segments.select("fire", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")).select(
-        "fire", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("lon"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("lat")
-    )
-    return disc_mask(pts.withColumn("radius_deg", F.lit(radius_m / frames.M_PER_DEG)), grid)
+def path_evidence(segments: DataFrame, grid: DataFrame, radius_m: float = 400.0) -> DataFrame:
+    """Cells whose centre lies within ``radius_m`` (as degrees) of a leg (fire, x1, y1, x2, y2), point to segment.
+
+    A leg lists the grid rows its buffer crosses, and per row the columns near the part of the leg that
+    passes by, so a long leg costs its area and not its bounding box.
+    """
+    r = F.lit(radius_m / frames.M_PER_DEG)
+    p = segments.join(grid, "fire")
+
+    def spread(rows: DataFrame, name: str, lo: Column, hi: Column, origin: str, step: str, size: str) -> DataFrame:
+        a = F.greatest(F.ceil((lo - F.col(origin)) / F.col(step) - F.lit(1e-9)), F.lit(0).cast("bigint"))
+        b = F.least(F.floor((hi - F.col(origin)) / F.col(step) + F.lit(1e-9)), F.col(size) - 1)
+        return rows.withColumns({"__a": a, "__b": b}).where("__a <= __b").withColumn(name, F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+
+    p = spread(p, "iy", F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, "south", "dlat", "h")
+    p = p.withColumn("__y", F.col("south") + F.col("iy") * F.col("dlat"))
+    rise = F.col("y2") - F.col("y1")
+    along = lambda y: frames.clip((y - F.col("y1")) / rise, 0.0, 1.0)
+    flat = F.abs(rise) < 1e-12
+    at = lambda u: F.col("x1") + u * (F.col("x2") - F.col("x1"))
+    xa = at(F.when(flat, 0.0).otherwise(along(F.col("__y") - r)))
+    xb = at(F.when(flat, 1.0).otherwise(along(F.col("__y") + r)))
+    p = spread(p, "ix", F.least(xa, xb) - r, F.greatest(xa, xb) + r, "west", "dlon", "w")
+    x = F.col("west") + F.col("ix") * F.col("dlon")
+    near = frames.segment_distance(x, F.col("__y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= r
+    return p.where(near).select(*CELL).distinct()
 
 
 def shuttle_weight(shuttles: DataFrame, weight: float = 0.65) -> DataFrame:
@@ -319,8 +340,15 @@ def cells_within(cells: DataFrame, shape: DataFrame, reach: DataFrame, cell_km:
     inside = C.intersect(cells, shape, ["fire"])
     a = cells.select(*CELL).withColumns({"x": F.col("ix").cast("double"), "y": F.col("iy").cast("double")})
     b = rim.join(reach, "fire").select("fire", F.col("ix").cast("double").alias("rx"), F.col("iy").cast("double").alias("ry"), "reach_km")
-    close = radius_join(a, b, 8.0 / cell_km, ["fire"], balance=False).where(F.col("d") * cell_km <= F.col("reach_km"))
-    return C.union(inside, close.select(*CELL).distinct(), ["fire"])
+    # Fires of like reach meet on tiles of their size, whatever the reach is.
+    size = F.greatest(F.ceil(F.log2(F.greatest(F.col("reach_km") / cell_km, F.lit(1.0)))), F.lit(0).cast("bigint"))
+    b = b.withColumn("__size", size)
+    out = inside
+    for row in b.select("__size").distinct().orderBy("__size").collect():  # powers of two, some ten at most
+        some = b.where(F.col("__size") == row[0]).drop("__size")
+        close = radius_join(a, some, float(2 ** row[0]), ["fire"], balance=False).where(F.col("d") * cell_km <= F.col("reach_km"))
+        out = out.unionByName(close.select(*CELL))
+    return out.select(*CELL).distinct()
 
 
 def reachable_growth(base: DataFrame, goes: DataFrame, viirs: DataFrame, facts: DataFrame, cells: DataFrame, cell_km: float) -> DataFrame:

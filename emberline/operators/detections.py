@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions import frames
-from emberline.functions.ordered import exact_quantiles, top_n
+from emberline.functions.ordered import exact_quantiles, neighbours, top_n
 
 # Mask codes of the geostationary fire product.
 FIRE_MASK_CODES = [10, 11, 12, 13, 14, 15, 30, 31, 32, 33, 34, 35]
@@ -190,10 +190,13 @@ def first_centroid(hotspots: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
-def systematic_sample(catalog: DataFrame, key: str, name: str, step: int, n: int) -> DataFrame:
-    """Every ``step``-th name of the sorted catalogue, first ``n`` of those: the feature is the cap."""
-    first = top_n(catalog, [key], [F.col(name)], step * (n - 1) + 1, F.col(name))
-    return first.where((F.col("rank") - 1) % step == 0)
+def systematic_sample(catalog: DataFrame, key: str, name: str, step: int, slot: Column) -> DataFrame:
+    """Every ``step``-th name of each key's sorted catalogue, from the first to the last.
+
+    ``slot`` cuts the names into stretches that ascend with them, so a key is numbered in parallel.
+    """
+    numbered = neighbours(catalog, [key], [name], [name], slot, prev=False, starts=lambda row, before: F.lit(True))
+    return numbered.where((F.col("run") - 1) % step == 0).drop("run")
 
 
 def granules_in_window(catalog: DataFrame, sat_tag: str, start_s: float, end_s: float) -> DataFrame:

@@ -19,10 +19,10 @@ CONFORMAL_LO, CONFORMAL_HI = -0.34, 0.29
 
 
 def checked_health(df: DataFrame) -> DataFrame:
-    """Fail on a status outside the three allowed; trim the reason to 400 characters."""
+    """Fail on a status outside the three allowed; a missing reason is empty."""
     bad = F.concat(F.lit("unknown source_health status "), F.coalesce("status", F.lit("NULL")))
     status = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(bad))
-    return df.withColumns({"status": status, "reason": F.substring(F.coalesce("reason", F.lit("")), 1, 400)})
+    return df.withColumns({"status": status, "reason": F.coalesce("reason", F.lit(""))})
 
 
 def source_health_summary(log: DataFrame, since: Column, keys: list[str] = ("source",), rollup: bool = False) -> DataFrame:

@@ -54,11 +54,11 @@ def blur_sql(src, out, sigma):
 VB = f"v0 AS (SELECT *, 1e0 AS v FROM vm), {blur_sql('v0', 'vb', 3.75)}"
 
 
-@query("r01_gaussian_blur", FIRES_DETS + f", {GRID}, {VB} SELECT fire, ix, iy, v FROM vb WHERE v > 0.001e0", "v")
+@query("r01_gaussian_blur", FIRES_DETS + f", {GRID}, {VB} SELECT fire, ix, iy, v FROM vb", "v")
 def _(spark, sf):
     g = grid(spark, sf)
     mask = B.viirs_evidence(viirs(spark, sf), g).withColumn("v", F.lit(1.0))
-    return B.gaussian_blur(mask, g, 375.0).where("v > 0.001").select("fire", "ix", "iy", "v")
+    return B.gaussian_blur(mask, g, 375.0).select("fire", "ix", "iy", "v")
 
 
 BURN = "bc AS (SELECT fire, ix, iy, 'viirs' AS source, 2.5e0*0.9e0*v/mx AS add, 0e0 AS fl FROM vb JOIN (SELECT fire, max(v) AS mx FROM vb GROUP BY fire) USING (fire))"
@@ -138,9 +138,12 @@ def _(spark, sf):
     return B.shuttle_weight(sh)
 
 
-@query("e07_drop_path_evidence", FIRES_DETS + f", {GRID} SELECT DISTINCT c.fire, c.ix, c.iy FROM gc c JOIN (SELECT fire, lon + 0.004e0*i/16e0 AS lon, lat - 0.003e0*i/16e0 AS lat FROM detections, range(0,17) r(i) WHERE det_id % 20 = 0) d USING (fire) WHERE pow(c.lon-d.lon,2)+pow(c.lat-d.lat,2) <= pow(400e0/111320e0,2)")
+@query("e07_drop_path_evidence", FIRES_DETS + f", {GRID}" + """, l AS (SELECT DISTINCT fire, lon AS x1, lat AS y1, 0.004e0 AS dx, -0.003e0 AS dy FROM detections WHERE sensor = 'GOES-19'),
+  q AS (SELECT c.fire, ix, iy, c.lon - x1 AS px, c.lat - y1 AS py, dx, dy FROM gc c JOIN l ON l.fire = c.fire AND c.lon BETWEEN x1 - 0.01e0 AND x1 + 0.01e0 AND c.lat BETWEEN y1 - 0.01e0 AND y1 + 0.01e0),
+  u AS (SELECT *, greatest(0e0, least(1e0, (px*dx + py*dy)/(dx*dx + dy*dy))) AS t FROM q)
+  SELECT DISTINCT fire, ix, iy FROM u WHERE pow(px - t*dx, 2) + pow(py - t*dy, 2) <= pow(400e0/111320e0, 2)""")
 def _(spark, sf):
-    seg = view(spark, sf, "detections").where("det_id % 20 = 0").selectExpr("fire", "lon AS x1", "lat AS y1", "lon + 0.004e0 AS x2", "lat - 0.003e0 AS y2")
+    seg = view(spark, sf, "detections").where("sensor = 'GOES-19'").selectExpr("fire", "lon AS x1", "lat AS y1", "lon + 0.004e0 AS x2", "lat - 0.003e0 AS y2")
     return B.path_evidence(seg, grid(spark, sf))
 
 

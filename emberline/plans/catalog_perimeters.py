@@ -83,13 +83,13 @@ def _(spark, sf):
 
 @query("x10_mission_name", """WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'Camp' END AS incident_name,
   CASE o_orderkey % 3 WHEN 0 THEN 'CA-PMQ-' || upper(split_part(o_orderpriority, '-', 2)) || '-N57B' WHEN 1 THEN 'SOLO' ELSE NULL END AS mission FROM orders)
-  SELECT id, trim(coalesce(incident_name, CASE WHEN t <> '' THEN upper(left(t,1)) || lower(substr(t,2)) END, 'Unnamed')) AS name FROM (
-  SELECT *, trim(CASE WHEN len(string_split(mission,'-')) >= 3 THEN string_split(mission,'-')[3] ELSE mission END) AS t FROM m) WHERE t IS NULL OR t NOT LIKE '% %'""")
+  SELECT id, trim(coalesce(incident_name, CASE WHEN t <> '' THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(left(w,1)) || lower(substr(w,2))), ' ') END, 'Unnamed')) AS name FROM (
+  SELECT *, trim(CASE WHEN len(string_split(mission,'-')) >= 3 THEN string_split(mission,'-')[3] ELSE mission END) AS t FROM m)""")
 def _(spark, sf):
     k = F.col("o_orderkey")
     code = F.when(k % 3 == 0, F.concat(F.lit("CA-PMQ-"), F.upper(F.element_at(F.split("o_orderpriority", "-"), 2)), F.lit("-N57B"))).when(k % 3 == 1, "SOLO")
     rows = table(spark, sf, "orders").select(k.alias("id"), F.when(k % 4 == 0, "Camp").alias("incident_name"), code.alias("mission"))
-    return P.mission_name(rows.where("mission IS NULL OR NOT contains(mission, 'NOT ')")).select("id", "name")
+    return P.mission_name(rows).select("id", "name")
 
 
 @query("x12_normalize_fire_name", cte("perimeter") + f", {NAMED}" + r""", n AS (SELECT perim_id, ' ' || name || CASE perim_id % 4 WHEN 0 THEN ' Fire' WHEN 1 THEN ' complex ' WHEN 2 THEN ' Incident' ELSE '' END AS name, CASE WHEN perim_id % 7 = 0 THEN NULL ELSE CAST(2000 + perim_id % 20 AS INTEGER) END AS year FROM named)
