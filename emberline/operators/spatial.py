@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from emberline.functions import frames
 
 # Rows of one tile that one task should meet; denser tiles are split.
+#: Points per tile in unbounded nearest searches.
+TILE_POINTS = 128
 TILE_ROWS = 200_000
 
 
@@ -140,13 +142,15 @@ def nearest_pruned(
     payload: list[str],
     xy: tuple[str, str] = ("x", "y"),
 ) -> DataFrame:
-    """Exact unbounded nearest member per point, by pruning on block boxes.
+    """Exact unbounded nearest member per point, by pruning boxes of points against boxes of members.
 
-    Members are grouped into small blocks. A point's distance to the far corner of
-    any block bounds its nearest distance, so only blocks whose near edge is inside
-    the best such bound can hold the answer; the rest are never joined.
+    Members are grouped into small blocks and each key's points into square tiles of some ``TILE_POINTS``.
+    The largest distance between a tile and any block bounds the nearest distance of all its points, so
+    only blocks whose nearest edge is inside the best such bound can hold an answer. Boxes are compared
+    with boxes; a point meets only the blocks left for its tile that are within the bound from itself.
     """
     x1, y1, x2, y2 = (F.col(c) for c in extent)
+    px, py = F.col(xy[0]), F.col(xy[1])
     tagged = members.withColumn("__blk", block)
     boxes = tagged.groupBy(*keys, "__blk").agg(
         F.min(F.least(x1, x2)).alias("__bx0"),
@@ -154,20 +158,25 @@ def nearest_pruned(
         F.max(F.greatest(x1, x2)).alias("__bx1"),
         F.max(F.greatest(y1, y2)).alias("__by1"),
     )
-    px, py = F.col(xy[0]), F.col(xy[1])
-    far = F.hypot(
-        F.greatest(F.abs(px - F.col("__bx0")), F.abs(px - F.col("__bx1"))),
-        F.greatest(F.abs(py - F.col("__by0")), F.abs(py - F.col("__by1"))),
-    )
-    near = F.hypot(
-        F.greatest(F.col("__bx0") - px, px - F.col("__bx1"), F.lit(0.0)),
-        F.greatest(F.col("__by0") - py, py - F.col("__by1"), F.lit(0.0)),
-    )
-    slim = points.select(*keys, *[p for p in point_id if p not in keys], *xy)
     ids = list(dict.fromkeys([*keys, *point_id]))
-    bound = slim.join(boxes, keys).groupBy(*ids).agg((F.min(far) * (1 + 1e-9)).alias("__ub"))
-    live = slim.join(bound, ids).join(boxes, keys).where(near <= F.col("__ub")).select(*ids, *xy, "__blk")
-    pairs = live.join(tagged, [*keys, "__blk"]).withColumn("d", distance)
+    slim = points.select(*ids, *xy)
+    span = slim.groupBy(*keys).agg(
+        F.min(px).alias("__x0"), F.min(py).alias("__y0"), F.ceil(F.sqrt(F.count("*") / F.lit(TILE_POINTS))).alias("__side"),
+        (F.greatest(F.max(px) - F.min(px), F.max(py) - F.min(py)) + F.lit(1e-9)).alias("__w"),
+    )
+    part = lambda v, o: F.least(F.floor((v - F.col(o)) / F.col("__w") * F.col("__side")), F.col("__side") - 1)
+    slim = slim.join(span, keys).withColumn("__pt", part(px, "__x0") * F.col("__side") + part(py, "__y0")).select(*ids, *xy, "__pt")
+    tiles = slim.groupBy(*keys, "__pt").agg(F.min(px).alias("__px0"), F.max(px).alias("__px1"), F.min(py).alias("__py0"), F.max(py).alias("__py1"))
+    gap = lambda lo, hi, c: F.greatest(F.col(f"__b{c}0") - hi, lo - F.col(f"__b{c}1"), F.lit(0.0))
+    width = lambda c: F.greatest(F.abs(F.col(f"__p{c}1") - F.col(f"__b{c}0")), F.abs(F.col(f"__b{c}1") - F.col(f"__p{c}0")))
+    far = F.hypot(width("x"), width("y"))
+    near = F.hypot(gap(F.col("__px0"), F.col("__px1"), "x"), gap(F.col("__py0"), F.col("__py1"), "y"))
+    bound = tile_pairs(tiles, boxes, keys).groupBy(*keys, "__pt").agg((F.min(far) * (1 + 1e-9)).alias("__ub"))
+    live = tile_pairs(tiles.join(bound, [*keys, "__pt"]), boxes, keys).where(near <= F.col("__ub"))
+    live = live.select(*keys, "__pt", "__blk", "__ub", "__bx0", "__by0", "__bx1", "__by1")
+    own = F.hypot(gap(px, px, "x"), gap(py, py, "y"))
+    some = slim.join(live, [*keys, "__pt"]).where(own <= F.col("__ub")).select(*ids, *xy, "__blk")
+    pairs = some.join(tagged, [*keys, "__blk"]).withColumn("d", distance)
     return nearest_within(pairs, ids, member_id, payload)
 
 
