@@ -463,3 +463,26 @@ def predict_perimeter(scored: DataFrame, base_km: DataFrame, grid: DataFrame, lo
     out = cut_lineage(out)
     near = C.dilate(out, KEYS, 0.6 / sub)
     return C.union(out, C.intersect(drop_cells(drops, grid, sub), near, KEYS), KEYS)
+
+
+def predict_run(perim: DataFrame, scored: DataFrame, grid: DataFrame, local: DataFrame, sub_km: float, drops: DataFrame | None = None) -> DataFrame:
+    """One summary row per step of a cycle: acres with their interval, detections by kind, drop paths, mode.
+
+    ``perim`` are the sub-cells of ``predict_perimeter``; a step without scored cells is persistence, keeps
+    the mapped area and has no interval.
+    """
+    from emberline.operators.health import conformal_interval
+
+    learned = scored.select(*KEYS).distinct().withColumn("learned", F.lit(True))
+    acres = perim.groupBy(*KEYS).agg((F.count("*") * F.lit((sub_km * 1000.0) ** 2 / frames.M2_PER_ACRE)).alias("cell_acres"))
+    seen = local.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("viirs").cast("bigint").alias("n_viirs"))
+    rows = grid.select(*KEYS, (F.col("area_km2") * F.lit(1e6 / frames.M2_PER_ACRE)).alias("base_acres"))
+    rows = rows.join(acres, KEYS, "left").join(seen, KEYS, "left").join(learned, KEYS, "left")
+    flown = drops.groupBy(*KEYS).agg(F.count("*").alias("legs")) if drops is not None else rows.select(*KEYS, F.lit(0).alias("legs"))
+    rows = rows.join(flown, KEYS, "left")
+    mode = F.when(F.col("learned"), "learned_field").otherwise("persistence")
+    out = rows.select(
+        *KEYS, "base_acres", F.when(F.col("learned"), F.coalesce("cell_acres", "base_acres")).otherwise(F.col("base_acres")).alias("pred_acres"),
+        F.coalesce("n", F.lit(0)).alias("n_dets"), F.coalesce("n_viirs", F.lit(0)).alias("n_viirs"), F.coalesce("legs", F.lit(0)).cast("bigint").alias("n_drop_legs"), mode.alias("mode"),
+    )
+    return conformal_interval(out)

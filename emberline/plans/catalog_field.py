@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from emberline.operators import spatial as S
 from emberline.plans.catalog import query
 from emberline.plans.catalog_observations import JUDGED, RAW_DETS, kept_detections
 from emberline.plans.fixtures import cte, square_edges, view
-from emberline.session import cut_lineage
+from emberline.session import checkpoint_root, cut_lineage
+from emberline.sources.sinks import read_snapshot, write_snapshot
 
 START_T, CUTOFF_T = 1704067200.0, 1706140800.0
 PER_CELL = 250.0**2 / 4046.86
@@ -301,6 +303,50 @@ def _(spark, sf):
     return C.acres(perim, ["fire"], 0.05, "pred_acres")
 
 
+def drop_legs(i):
+    """Every detection of one satellite stands for a drop leg half a kilometre long."""
+    return i.local.where("sensor = 'GOES-19'").select(*M.KEYS, F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 0.5).alias("x2"), (F.col("y") - 0.3).alias("y2"))
+
+
+@query("g11_edge_from_drops", FRAME + """, leg AS (SELECT d.fire, x, y FROM d JOIN kept k USING (fire, det_id) WHERE k.sensor = 'GOES-19'),
+  b AS (SELECT l.fire, ix, iy FROM lat l JOIN f USING (fire) WHERE abs(x) < hx AND abs(y) < hy),
+  n AS (SELECT DISTINCT l.fire, l.ix, l.iy, l.x, l.y FROM lat l JOIN b ON b.fire = l.fire AND pow(l.ix-b.ix,2)+pow(l.iy-b.iy,2) <= pow(0.6e0/0.25e0,2) + 1e-9),
+  q AS (SELECT n.fire, n.ix, n.iy, n.x - leg.x AS px, n.y - leg.y AS py FROM n JOIN leg USING (fire)),
+  u AS (SELECT *, greatest(0e0, least(1e0, (px*0.5e0 - py*0.3e0)/0.34e0)) AS t FROM q)
+  SELECT DISTINCT fire, ix, iy FROM u WHERE sqrt(pow(px - t*0.5e0, 2) + pow(py + t*0.3e0, 2)) <= 0.3e0""")
+def _(spark, sf):
+    i = inputs(spark, sf)
+    near = C.dilate(M.base_cells(i.base, i.grid, 1), M.KEYS, 0.6 / M.GRID_KM)
+    return C.intersect(M.drop_cells(drop_legs(i), i.grid, M.GRID_KM), near, M.KEYS).select("fire", "ix", "iy")
+
+
+def cycle(i, scored, drops):
+    """From scored cells to one summary row per fire."""
+    perim = cut_lineage(M.predict_perimeter(scored, i.base, i.grid, i.local, drops=drops))
+    return M.predict_run(perim, scored, i.grid, i.local, M.GRID_KM / 5, drops)
+
+
+def fitted(spark, sf, i):
+    """Cells scored by a model fitted on all fires; its trees are few, so that a check ends."""
+    _, labelled = training_rows(spark, sf)
+    kept = M.negative_sample(labelled)
+    r = M.cohort_balance(labelled, kept).first()["retained"]
+    return cut_lineage(M.predict_field(M.fit_field(kept, maxIter=5, maxDepth=4), labelled, r))
+
+
+@query("m07_predict_run")
+def predict_run(spark, sf):
+    """A whole cycle, run from the snapshot that was written of its inputs."""
+    live, drops = inputs(spark, sf), drop_legs(inputs(spark, sf))
+    scored = fitted(spark, sf, live)
+    path = f"{checkpoint_root(spark)}/snapshots"
+    tables = {"scored": scored, "base": live.base, "grid": live.grid, "local": live.local, "drops": drops}
+    run_id = uuid.uuid4().hex
+    write_snapshot(tables, path, run_id)
+    back = SimpleNamespace(**read_snapshot(spark, path, run_id, list(tables)))
+    return cycle(back, back.scored, back.drops).drop("step")
+
+
 @query("a24_growth_metrics", SCORED + """, b AS (SELECT fire, ix, iy, (abs(x) < hx AND abs(y) < hy) AS b, (abs(x) < 1.4e0*hx AND abs(y) < 1.4e0*hy) AS r FROM lat JOIN f USING (fire)),
   j AS (SELECT b.*, coalesce(rn <= take, false) AS p FROM b LEFT JOIN tk USING (fire, ix, iy))
   SELECT fire, CASE WHEN count(*) FILTER (NOT b AND (r OR p)) > 0 THEN count(*) FILTER (NOT b AND r AND p)/count(*) FILTER (NOT b AND (r OR p)) ELSE 0 END AS growth_iou, count(*) FILTER (NOT b AND r AND NOT p)*15.444072688454751e0 AS missed_acres, count(*) FILTER (NOT b AND p AND NOT r)*15.444072688454751e0 AS over_acres

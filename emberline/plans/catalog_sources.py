@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberline.operators import detections as D
 from emberline.plans.catalog import query
 from emberline.plans.fixtures import VIEWS, _split, _spell, cte, table, view
+from emberline.session import checkpoint_root
 from emberline.sources import ground as G
 from emberline.sources import satellite as S
 from emberline.sources import sinks as K
@@ -231,6 +234,44 @@ def _(spark, sf):
     return K.cell_feature(cells, ["fire", "det_id"])
 
 
+# ---- round trips: written to the shared folder by the sink, read back by the reader ------
+
+
+def landed(spark):
+    return f"{checkpoint_root(spark)}/landed-{uuid.uuid4().hex}"
+
+
+@query("k06_s20_track_round_trip", cte("track") + " SELECT pt, CAST(icao AS VARCHAR) AS icao, callsign, lat, lon, alt_m, drop FROM track WHERE t >= 1706400000e0 - 480*3600", "lat lon alt_m")
+def _(spark, sf):
+    path = landed(spark)
+    K.append_tracks(view(spark, sf, "track").withColumns({"fire": F.lit("f"), "kind": F.col("pt").cast("string")}), path)
+    back = G.read_tracks(spark, path, 1706400000.0, 480.0)
+    return back.select(F.col("kind").cast("bigint").alias("pt"), "icao", "callsign", "lat", "lon", "alt_m", "drop")
+
+
+@query("k01_summary_round_trip", cte("perimeter") + " SELECT perim_id, acres, pct_contained AS lo_acres FROM perimeter", "acres lo_acres")
+def _(spark, sf):
+    path = landed(spark)
+    K.write_summary(view(spark, sf, "perimeter").select("perim_id", "acres", F.col("pct_contained").alias("lo_acres")), path)
+    return spark.read.schema("perim_id bigint, acres double, lo_acres double").json(path)
+
+
+@query("k03_snapshot_round_trip", cte("detections", "fires") + " SELECT f.fire, count(det_id) AS n, min(acq) AS first_acq FROM fires f LEFT JOIN detections d USING (fire) GROUP BY f.fire")
+def _(spark, sf):
+    path = landed(spark)
+    K.write_snapshot({n: view(spark, sf, n) for n in ("detections", "fires")}, path, "run")
+    back = K.read_snapshot(spark, path, "run", ["detections", "fires"])
+    joined = back["fires"].select("fire").join(back["detections"], "fire", "left")
+    return joined.groupBy("fire").agg(F.count("det_id").alias("n"), F.min("acq").cast("timestamp_ntz").alias("first_acq"))
+
+
+@query("k05_health_round_trip", cte("source_health") + " SELECT seq, status, coalesce(reason,'') AS reason, record_count FROM source_health")
+def _(spark, sf):
+    path = landed(spark)
+    K.append_health(view(spark, sf, "source_health"), path)
+    return spark.read.parquet(path).select("seq", "status", "reason", "record_count")
+
+
 # ---- streams: the driver table is the stream source --------------------------------------
 
 
