@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from emberline.llm.merges import BYTE_CHAR
 from emberline.llm.notes import map_notes
-from emberline.llm.pretokens import Encoder, frequent_pieces, read_spec, spaced, texts
+from emberline.llm.pretokens import SLICE, Encoder, frequent_pieces, read_spec, spaced, texts
 from emberline.session import shared_file
 
 
@@ -127,16 +127,36 @@ class Lexicon:
                 live, state, rank = live[~done], state[~done], rank[~done]
         return out
 
-    def ids_at(self, row: int) -> bytes:
-        ends = self.arrays["ends"]
-        return self.arrays["ids"][ends[row] : ends[row + 1]].tobytes()
-
-
-def token_bytes(encoder: Encoder) -> dict[int, bytes]:
-    """What each id stands for; a token outside the byte alphabet (none in a byte-level vocabulary) is its text."""
-    back = {c: b for b, c in BYTE_CHAR.items()}
-    vocab = encoder.tokenizer.get_vocab(with_added_tokens=True)
-    return {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
+    def ids(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of the pieces as little-endian unsigned 32-bit numbers, None for those not accepted."""
+        rows = self.rows([p.encode() for p in pieces])
+        data, ends = self.arrays["ids"].tobytes(), self.arrays["ends"]
+        lo, hi = ends[np.maximum(rows, 0)] * 4, ends[np.maximum(rows, 0) + 1] * 4 if len(ends) > 1 else ends[rows * 0]
+        return [data[a:b] if r >= 0 else None for r, a, b in zip(rows.tolist(), lo.tolist(), hi.tolist())]
+
+
+class Decoder:
+    """Bytes of id sequences; a token outside the byte alphabet (none in a byte-level vocabulary) is its text."""
+
+    def __init__(self, encoder: Encoder):
+        back = {c: b for b, c in BYTE_CHAR.items()}
+        vocab = encoder.tokenizer.get_vocab(with_added_tokens=True)
+        stands = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            stands[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.size = np.array([len(x) for x in stands], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(stands), np.uint8)
+
+    def decode(self, packed: list[bytes]) -> list[bytes]:
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        size = self.size[ids]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        data = self.flat[np.repeat(self.begin[ids] - (end - size), size) + np.arange(total)].tobytes()
+        stop = np.concatenate([[0], end])[np.cumsum([0, *(len(p) // 4 for p in packed)])].tolist()
+        cut = [data[a:b] for a, b in zip(stop, stop[1:])]
+        return [d if d.isascii() else d.decode("utf-8", "replace").encode() for d in cut]
 
 
 def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int = 1 << 15, keep_ids: bool = True) -> DataFrame:
@@ -144,8 +164,8 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
 
     The ``lexicon_size`` most frequent pieces of all notes and their ids are compiled into a minimal
     acyclic transducer whose file (a few MB) executors fetch from the shared folder and memory-map.
-    A task looks the different pieces of a slice up in it, all at once; pieces it does not accept are
-    merged exactly, many at a time. Decoding goes from the ids back through the vocabulary's bytes, with
+    A worker keeps a bounded table of the pieces it has met and walks new ones through the automaton, all
+    those of a slice at once; pieces it does not accept are merged exactly, many at a time. Decoding goes from the ids back through the vocabulary's bytes, with
     bytes that form no character replaced as the library does. Ids are hashed as little-endian
     unsigned 32-bit integers, decoded text as UTF-8, in lowercase hex.
 
@@ -165,20 +185,13 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
         from pyspark import SparkFiles
 
         encoder, lexicon = Encoder.shared(sent.value), Lexicon.mapped(SparkFiles.get(name))
-        stands = token_bytes(encoder)
+        decoder = Decoder(encoder)
 
         def encode(notes: list[bytes]) -> dict:
             cut = [spaced(n) for n in texts(notes)]
-            distinct = list(set().union(*cut))
-            found = lexicon.rows([p.encode() for p in distinct])
-            ids = {p: lexicon.ids_at(r) for p, r in zip(distinct, found.tolist()) if r >= 0}
-            new = {p for p in distinct if p not in ids}
-            merged = encoder.ids(new)
-            ids.update((p, merged[p]) for p in new)
-            text = {p: b"".join(map(stands.__getitem__, np.frombuffer(i, "<u4").tolist())) for p, i in ids.items()}
+            ids = encoder.ids(set().union(*cut), lexicon.ids)
             packed = [b"".join(map(ids.__getitem__, c)) for c in cut]
-            decoded = [b"".join(map(text.__getitem__, c)) for c in cut]
-            decoded = [d if d.isascii() else d.decode("utf-8", "replace").encode() for d in decoded]
+            decoded = decoder.decode(packed)
             out = {
                 "n_tokens": [len(p) // 4 for p in packed],
                 "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
@@ -191,4 +204,4 @@ def encode_notes(observations: DataFrame, tokenizer_file: str, lexicon_size: int
         return encode
 
     columns = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return map_notes(observations, make, columns)
+    return map_notes(observations, make, columns, most=SLICE)

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 #: Words are maximal runs without ASCII white space, as ``bytes.split()`` cuts them.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def noted(observations: DataFrame, *more: str | Column) -> DataFrame:
@@ -39,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterat
                 yield batch.slice(lo, hi - lo)
 
 
-def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]], columns: str, *more: str, given: list[str] = ()) -> DataFrame:
+def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]], columns: str, *more: str, given: list[str] = (), most: int = SLICE_BYTES) -> DataFrame:
     """Per observation, the columns that ``make()(notes)`` returns beside ``obs_id`` (and ``more``).
 
     ``make`` runs once a task. It gets the notes of a slice as bytes, then the values of the ``given``
@@ -54,7 +54,7 @@ def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]],
 
     def run(batches):
         work = make()
-        for part in slices(batches):
+        for part in slices(batches, most):
             out = work(part.column("note").to_pylist(), *[part.column(g).to_pylist() for g in given])
             rows = out.pop("rows", None)
             ids = [part.column(f.name) for f in kept]

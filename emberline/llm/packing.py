@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from emberline.llm.notes import noted, slices
-from emberline.llm.pretokens import Encoder, read_spec, texts, words
+from emberline.llm.pretokens import SLICE, Encoder, read_spec, texts, words
 
 PIECE = ("start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint")
 
@@ -127,7 +127,7 @@ def pack_notes(
     def windows(batches) -> Iterator[tuple[list, list[bytes], list]]:
         encoder = Encoder.shared(sent.value)
         ids, packed, losses, held = [], [], [], 0
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             cut = [words(n) for n in texts(part.column("note").to_pylist())]
             table = encoder.ids(set().union(*cut))
             for i, pieces, w in zip(part.column("obs_id").to_pylist(), cut, part.column("__loss").to_pylist()):

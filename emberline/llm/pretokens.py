@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ _SPACED_WIDE = re.compile(r"\s*\S+|\s+")
 # The information separators and U+180E, which some engines call white space.
 _UNSURE = re.compile("[\x1c-\x1f\u180e]")
 _LONG = 64
+#: Pieces of a slice are made distinct before they are looked up, so slices are larger here.
+SLICE = 2 << 20
 
 
 def plain(piece: str) -> bool:
@@ -95,7 +98,7 @@ class Encoder:
     however many different pieces a task meets.
     """
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 250_000):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -127,12 +130,16 @@ class Encoder:
                 out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    def ids(self, pieces: set[str]) -> dict[str, bytes]:
-        """A table that holds at least ``pieces`` with their ids."""
+    def ids(self, pieces: set[str], known: Callable[[list[str]], list[bytes | None]] | None = None) -> dict[str, bytes]:
+        """A table that holds at least ``pieces`` with their ids; ``known`` is asked for new ones first."""
         new = list(pieces.difference(self.cache))
         if len(self.cache) + len(new) > self.most:
             self.cache.clear()
             new = list(pieces)
+        if known is not None:
+            answers = known(new)
+            self.cache.update((p, a) for p, a in zip(new, answers) if a is not None)
+            new = [p for p, a in zip(new, answers) if a is None]
         self.cache.update(zip(new, self.encode(new)))
         return self.cache
 
@@ -188,7 +195,7 @@ def frequent_pieces(observations: DataFrame, cut: str, capacity: int) -> list[st
         from pyspark import TaskContext
 
         total, pieces_of = Counter(), CUTS[cut]
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             for note in texts(part.column("note").to_pylist()):
                 total.update(pieces_of(note))
             if len(total) > 8 * capacity:

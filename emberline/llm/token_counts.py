@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.notes import map_notes
-from emberline.llm.pretokens import Encoder, frequent_pieces, read_spec, texts, words
+from emberline.llm.pretokens import SLICE, Encoder, frequent_pieces, read_spec, texts, words
 
 
 class LengthTable:
@@ -53,5 +53,5 @@ def count_tokens(observations: DataFrame, tokenizer_file: str, limit: int = 2048
 
         return count
 
-    counted = map_notes(observations, make, "n_bytes bigint, n_tokens bigint")
+    counted = map_notes(observations, make, "n_bytes bigint, n_tokens bigint", most=SLICE)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
