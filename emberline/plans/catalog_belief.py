@@ -100,7 +100,12 @@ def _(spark, sf):
     return B.condition_weight(obs).select("event_id", "cond_w")
 
 
-@query("r07_anisotropic_elongate")
+@query("r07_anisotropic_elongate", FIRES_DETS + f", {GRID}" + """, wn AS (SELECT fire, radians(fire*37%360) AS b, pow(1e0 + 1.2e0*least(fire % 3, 3), 2) + 0.49e0 AS va FROM fires),
+  o AS (SELECT x.i AS dx, y.i AS dy FROM range(-19, 20) x(i), range(-19, 20) y(i)),
+  kq AS (SELECT fire, dx, dy, pow(dx*sin(b) + dy*cos(b), 2)/va + pow(dx*cos(b) - dy*sin(b), 2)/1.49e0 AS q FROM wn, o),
+  kk AS (SELECT fire, dx, dy, exp(-0.5e0*q)/sum(exp(-0.5e0*q)) OVER (PARTITION BY fire) AS k FROM kq WHERE q <= 16),
+  st AS (SELECT a.fire, a.ix, a.iy, sum(0.9e0*k) AS s FROM vm a JOIN kk ON kk.fire = a.fire JOIN vm b ON b.fire = a.fire AND b.ix = a.ix - dx AND b.iy = a.iy - dy GROUP BY ALL)
+  SELECT fire, count(*) AS cells, 0.9e0 AS peak, sum(s/mx*0.9e0) AS mass FROM st JOIN (SELECT fire, max(s) AS mx FROM st GROUP BY fire) USING (fire) GROUP BY fire""", "peak mass")
 def _(spark, sf):
     g = grid(spark, sf)
     fires = view(spark, sf, "fires")

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from emberline.operators import detections as D
+from emberline.operators.health import FLOOR_RADIUS_M, MAX_HEAD_ROS_M_MIN
 from emberline.plans.catalog import query
+from emberline.plans.catalog_aircraft import DROPS
 from emberline.plans.fixtures import VIEWS, _split, _spell, cte, table, view
 from emberline.session import checkpoint_root
 from emberline.sources import ground as G
@@ -301,36 +303,43 @@ def _(spark, sf):
 
 @query("t03_stream_loitering", cte("track") + """, w AS (SELECT CAST(floor(t/43200) AS BIGINT)*43200 + o*43200 - 43200 AS ws, icao, lat, lon, spd_ms, t FROM track, range(0,2) r(o)),
   g AS (SELECT ws, icao, count(*) AS n, sqrt(pow((max(lon)-min(lon))*111.32e0*cos(radians(avg(lat))),2)+pow((max(lat)-min(lat))*111.32e0,2)) AS s FROM w GROUP BY ALL)
-  SELECT ws, icao, n, s AS spread_km FROM g WHERE n >= 2 AND s <= 4 AND ws + 86400 <= (SELECT floor((max(t)*1000)-600000)/1000 FROM track)""", "spread_km")
+  SELECT ws, icao, n, s AS spread_km FROM g WHERE n >= 2 AND s <= 4""", "spread_km")
 def _(spark, sf):
-    out = J.stream_loitering(stream(spark, sf, "track"), 2, 4.0, lookback="24 hours", every="12 hours")
-    return J.drain(out).select(F.unix_seconds("window.start").alias("ws"), "icao", "n", "spread_km")
+    job = lambda points: J.stream_loitering(points, 2, 4.0, lookback="24 hours", every="12 hours")
+    return J.drain_closed(job, stream(spark, sf, "track"), "ts", "icao").select(F.unix_seconds("window.start").alias("ws"), "icao", "n", "spread_km")
 
 
 @query("t05_stream_health", cte("source_health") + """, w AS (SELECT CAST(floor(epoch_us(t)/1e6/43200) AS BIGINT)*43200 + o*43200 - 43200 AS ws, source, status FROM source_health, range(0,2) r(o))
-  SELECT ws, source, count(*) AS attempts, count(*) FILTER (status='ok') AS ok, count(*) FILTER (status='unavailable') AS unavailable FROM w WHERE ws + 86400 <= (SELECT floor(epoch_us(max(t))/1e3 - 3600000)/1000 FROM source_health) GROUP BY ALL""")
+  SELECT ws, source, count(*) AS attempts, count(*) FILTER (status='ok') AS ok, count(*) FILTER (status='unavailable') AS unavailable FROM w GROUP BY ALL""")
 def _(spark, sf):
-    out = J.stream_health(stream(spark, sf, "source_health"), every="12 hours")
-    return J.drain(out).select(F.unix_seconds("window.start").alias("ws"), "source", "attempts", "ok", "unavailable")
+    job = lambda log: J.stream_health(log, every="12 hours")
+    return J.drain_closed(job, stream(spark, sf, "source_health"), "t", "source").select(F.unix_seconds("window.start").alias("ws"), "source", "attempts", "ok", "unavailable")
 
 
-@query("t06_stream_cycle_alerts", "WITH h AS (SELECT o_orderkey AS seq, o_custkey % 700 AS fire, epoch_us(o_orderdate)/1e6 AS t, o_totalprice/1e1 AS pred_acres FROM orders) SELECT fire, seq, pred_acres - lag(pred_acres) OVER (PARTITION BY fire ORDER BY t, seq) AS delta_acres FROM h", "delta_acres")
+@query("t06_stream_cycle_alerts", f"""WITH h AS (SELECT o_orderkey AS seq, o_custkey % 700 AS fire, epoch_us(o_orderdate)/1e6 AS t, o_totalprice/1e1 AS pred_acres FROM orders),
+  p AS (SELECT *, lag(pred_acres) OVER w AS pa, (t - lag(t) OVER w)/60e0 AS mins FROM h WINDOW w AS (PARTITION BY fire ORDER BY t, seq)),
+  b AS (SELECT *, CASE WHEN mins > 0 THEN greatest(pi()*pow(greatest(sqrt(greatest(pa,0)*4046.86e0/pi()), {FLOOR_RADIUS_M}) + {MAX_HEAD_ROS_M_MIN}*mins, 2) - greatest(pa,0)*4046.86e0, 0)/4046.86e0 END AS bound FROM p)
+  SELECT fire, seq, pred_acres - pa AS delta_acres, bound/1e9 AS bound, coalesce(pred_acres - pa > bound, false) AS physics_alert FROM b""", "delta_acres bound")
 def _(spark, sf):
     raw = raw_stream(spark, sf, "orders")
-    c = raw.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 700).alias("fire"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6)).alias("t"), (F.col("o_totalprice") / 10).alias("pred_acres"))
-    return J.drain(T.stream_cycle_alerts(c)).select("fire", "seq", "delta_acres")
+    at = F.col("o_orderdate").cast("timestamp")
+    c = raw.select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 700).alias("fire"), at.alias("ts"), (F.unix_micros(at) / F.lit(1e6)).alias("t"), (F.col("o_totalprice") / 10).alias("pred_acres"))
+    out = J.drain_closed(lambda cycles: T.stream_cycle_alerts(cycles, "3000 days"), c, "ts", "fire")  # orders come in no order
+    return out.select("fire", "seq", "delta_acres", (F.col("feasible_acres") / 1e9).alias("bound"), "physics_alert")
 
 
-@query("t07_stream_drop_runs")
+@query("t07_stream_drop_runs", cte("track") + f", {DROPS} SELECT icao, count(*) AS hits, min(t) AS t0, max(t) AS t1, arg_max(drop_kind, pt) AS kind FROM rr WHERE drop_kind IS NOT NULL GROUP BY icao, run", "t0 t1")
 def _(spark, sf):
     t = stream(spark, sf, "track").select("icao", "ts", "t", "pt", (F.col("alt_m") - 20.0).alias("agl_m"), "spd_ms", F.col("callsign").startswith("COPTER").alias("heli"))
-    return J.drain(T.stream_drop_runs(t)).select("icao", "hits", "t0", "t1", "kind")
+    out = J.drain_closed(lambda tracks: T.stream_drop_runs(tracks, gap_s=90 * 86400.0), t, "ts", "icao")
+    return out.select("icao", "hits", "t0", "t1", "kind")
 
 
 @query("t04_stream_reachability")
 def _(spark, sf):
     d = stream(spark, sf, "detections").select("fire", F.col("acq").alias("ts"), "det_id", "t", "lat", "lon", "frp", (F.col("frp") * 900.0).alias("area_m2"), (F.col("det_id") < 150).alias("seed"))
-    return J.drain(T.stream_reachability(d, 38.5, max_speed_kmh=0.05, tolerance_m=900.0)).select("fire", "det_id", "accepted", "distance_m")
+    out = J.drain_closed(lambda dets: T.stream_reachability(dets, 38.5, max_speed_kmh=0.05, tolerance_m=900.0), d, "ts", "fire")
+    return out.select("fire", "det_id", "accepted", "distance_m")
 
 
 @query("t08_split_rejects", cte("detections") + " SELECT det_id, 'post_cutoff_acquisition' AS reject_reason FROM detections WHERE acq > TIMESTAMP '2024-01-20 00:00:00'")

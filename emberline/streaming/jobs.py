@@ -13,7 +13,7 @@ from emberline.functions import frames
 from emberline.operators import aircraft as A
 from emberline.operators import detections as D
 from emberline.operators.health import latest_per_fire
-from emberline.session import ensure_checkpoint_dir
+from emberline.session import checkpoint_root
 
 
 def stream_detections(raw: DataFrame, cutoff_delay: str = "1 day") -> DataFrame:
@@ -95,13 +95,32 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
     Output and progress live in the shared checkpoint folder; rows carry the batch number.
     """
-    spark: SparkSession = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    root = f"{checkpoint_root(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    _run(stream, root, mode)
+    return stream.sparkSession.read.parquet(f"{root}/rows")
 
+
+def _run(stream: DataFrame, root: str, mode: str) -> None:
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("batch", F.lit(epoch)).write.mode("append").parquet(f"{root}/rows")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/rows")
+
+
+def drain_closed(job: Callable[[DataFrame], DataFrame], source: DataFrame, ts: str, key: str) -> DataFrame:
+    """``drain`` of ``job(source)``, then one closing row far in the future, so that windows, frames and runs
+    still open behind the watermark are released too. The closing row has no ``key`` and leaves no row.
+    """
+    spark: SparkSession = source.sparkSession
+    root = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    end = spark.range(1).select(*[
+        (F.to_timestamp(F.lit("2200-01-01")) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in source.schema
+    ])
+    end.limit(0).write.parquet(f"{root}/closing/a")
+    closing = spark.readStream.schema(source.schema).parquet(f"{root}/closing/*")
+    out = job(source.unionByName(closing))
+    _run(out, root, "append")
+    end.write.parquet(f"{root}/closing/b")
+    _run(out, root, "append")
+    return spark.read.parquet(f"{root}/rows").where(F.col(key).isNotNull())

@@ -23,30 +23,57 @@ def _bound(acres: float, minutes: float) -> float:
     return max(math.pi * r * r - base, 0.0) / M2_PER_ACRE
 
 
-def _alerts(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    acres, last = state.get if state.exists else (float("nan"), float("nan"))
-    for pdf in [pd.concat(list(batches)).sort_values(["t", "seq"])]:
-        out = []
-        for t, seq, pred in zip(pdf["t"], pdf["seq"], pdf["pred_acres"]):
-            minutes = (t - last) / 60.0
-            known = not math.isnan(last)
-            delta = pred - acres if known else None
-            bound = _bound(acres, minutes) if known and minutes > 0 else None
-            out.append((key[0], seq, t, pred, minutes if known else None, delta, bound, bool(bound is not None and delta > bound)))
-            acres, last = pred, t
-        state.update((acres, last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
+def _held(batches, rows: list[list]) -> list[tuple]:
+    """Rows kept from earlier batches and those of this one, as tuples."""
+    out = list(zip(*rows)) if rows and len(rows[0]) else []
+    for pdf in batches:
+        out.extend(zip(*(pdf[c].tolist() for c in pdf.columns)))
+    return out
+
 
+def _release(state: GroupState, rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Rows the watermark has passed, in order, and the rest; the first column is epoch seconds."""
+    mark = state.getCurrentWatermarkMs() / 1000.0
+    return sorted(r for r in rows if r[0] < mark), [r for r in rows if not r[0] < mark]
 
-def stream_cycle_alerts(cycles: DataFrame) -> DataFrame:
-    """Growth since the previous cycle against the feasible bound; state is the last (acres, t)."""
-    return cycles.groupBy("fire").applyInPandasWithState(_alerts, ALERT, "acres double, t double", "append", GroupStateTimeout.NoTimeout)
+
+def _alerts(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if pd.isna(key[0]):  # a row that only moves the watermark
+        return
+    acres, last, *kept = state.get if state.exists else (float("nan"), float("nan"), [], [], [])
+    fresh = (pdf[["t", "seq", "pred_acres"]] for pdf in batches) if not state.hasTimedOut else ()
+    ready, later = _release(state, _held(fresh, kept))
+    out = []
+    for t, seq, pred in ready:
+        minutes = (t - last) / 60.0
+        known = not math.isnan(last)
+        delta = pred - acres if known else None
+        bound = _bound(acres, minutes) if known and minutes > 0 else None
+        out.append((key[0], seq, t, pred, minutes if known else None, delta, bound, bool(bound is not None and delta > bound)))
+        acres, last = pred, t
+    state.update((acres, last, *([r[k] for r in later] for k in range(3))))
+    if later:
+        state.setTimeoutTimestamp(max(int(min(later)[0] * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
+
+
+def stream_cycle_alerts(cycles: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Growth since the previous cycle against the feasible bound.
+
+    ``cycles``: (fire, ts, seq, t, pred_acres). A fire's rows wait until the watermark has passed them and
+    are then judged in order of (t, seq), so the order of files does not matter; state is the last
+    (acres, t) and the rows that wait.
+    """
+    return cycles.withWatermark("ts", late).groupBy("fire").applyInPandasWithState(
+        _alerts, ALERT, "acres double, t double, h_t array<double>, h_seq array<bigint>, h_acres array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 RUN = "icao bigint, hits bigint, t0 double, t1 double, kind string"
 RUN_STATE = (
     "has_prev boolean, prev_agl double, has_held boolean, t double, agl double, spd double, heli boolean, "
-    "open boolean, hits bigint, t0 double, t1 double, kind string"
+    "open boolean, hits bigint, t0 double, t1 double, kind string, "
+    "h_t array<double>, h_pt array<bigint>, h_agl array<double>, h_spd array<double>, h_heli array<boolean>"
 )
 
 
@@ -61,10 +88,13 @@ def _is_drop(prev, agl, nxt, spd, heli) -> str | None:
 
 def _runs(gap_s: float):
     def step(key, batches, state: GroupState):
+        if pd.isna(key[0]):  # a row that only moves the watermark
+            return
         if state.exists:
-            has_prev, prev, held, t, agl, spd, heli, is_open, hits, t0, t1, kind = state.get
+            has_prev, prev, held, t, agl, spd, heli, is_open, hits, t0, t1, kind, *kept = state.get
         else:
             has_prev, prev, held, t, agl, spd, heli, is_open, hits, t0, t1, kind = False, 0.0, False, 0.0, 0.0, 0.0, False, False, 0, 0.0, 0.0, ""
+            kept = [[], [], [], [], []]
         closed = []
 
         def settle(nxt):
@@ -78,31 +108,45 @@ def _runs(gap_s: float):
                 closed.append((key[0], hits, t0, t1, kind))
                 is_open, hits = False, 0
 
-        if state.hasTimedOut:
+        def finish():
+            """No sample within the gap follows: the held one is the last of its stretch."""
+            nonlocal held, has_prev, is_open, hits
             if held:
                 settle(None)
             if is_open:
                 closed.append((key[0], hits, t0, t1, kind))
+            held = has_prev = is_open = False
+            hits = 0
+
+        fresh = (pdf[["t", "pt", "agl_m", "spd_ms", "heli"]].astype({"agl_m": float, "spd_ms": float}) for pdf in batches) if not state.hasTimedOut else ()
+        ready, later = _release(state, _held(fresh, kept))
+        for row in ready:
+            if held and row[0] - t > gap_s:
+                finish()
+            if held:
+                settle(row[2])
+                has_prev, prev = True, agl
+            held, (t, agl, spd, heli) = True, (float(row[0]), float(row[2]), float(row[3]), bool(row[4]))
+        mark = state.getCurrentWatermarkMs() / 1000.0
+        if held and mark > t + gap_s and (not later or min(later)[0] - t > gap_s):
+            finish()
+        if later or held:
+            state.update((has_prev, prev, held, t, agl, spd, heli, is_open, hits, t0, t1, kind, *([r[k] for r in later] for k in range(5))))
+            due = [min(later)[0]] if later else []
+            due += [t + gap_s] if held else []
+            state.setTimeoutTimestamp(max(int(min(due) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-        else:
-            pdf = pd.concat(list(batches)).sort_values(["t", "pt"])
-            for row in zip(pdf["t"], pdf["agl_m"], pdf["spd_ms"], pdf["heli"]):
-                if held:
-                    settle(row[1])
-                    has_prev, prev = True, agl
-                held, (t, agl, spd, heli) = True, (float(row[0]), float(row[1]), float(row[2]), bool(row[3]))
-            state.update((has_prev, prev, held, t, agl, spd, heli, is_open, hits, t0, t1, kind))
-            due = max(int((t + gap_s) * 1000), state.getCurrentWatermarkMs() + 1)
-            state.setTimeoutTimestamp(due)
         yield pd.DataFrame(closed, columns=[c.split()[0] for c in RUN.split(", ")])
 
     return step
 
 
 def stream_drop_runs(tracks: DataFrame, gap_s: float = 3600.0, late: str = "10 minutes") -> DataFrame:
-    """Drop runs with a one-sample lookahead; a run closes on a clean sample or after ``gap_s``.
+    """Drop runs with a one-sample lookahead; a run closes on a clean sample or after ``gap_s`` without one.
 
-    ``tracks``: (icao, ts, t, pt, agl_m, spd_ms, heli), samples arriving in time order per trigger.
+    ``tracks``: (icao, ts, t, pt, agl_m, spd_ms, heli). Samples wait until the watermark has passed them and
+    are then taken in order of (t, pt), whatever files they came in.
     """
     return tracks.withWatermark("ts", late).groupBy("icao").applyInPandasWithState(
         _runs(gap_s), RUN, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout
@@ -115,6 +159,8 @@ REACH_STATE = "s_t array<double>, s_x array<double>, s_y array<double>, b_id arr
 
 def _reach(settings: dict, lookback_s: float):
     def step(key, batches, state: GroupState):
+        if pd.isna(key[0]):  # a row that only moves the watermark
+            return
         if state.exists:
             got = [np.asarray(v, dtype=float) for v in state.get]
             support, held = np.column_stack(got[:3]).reshape(-1, 3), pd.DataFrame(dict(zip(["det_id", "t", "lat", "lon", "frp", "area_m2"], got[3:])))
