@@ -102,8 +102,8 @@ class LanguageModel:
 def fit_languages(observations: DataFrame, label: str = "language", per_language: int = 1500) -> LanguageModel | None:
     """Learn from notes and their ``label``; NULL labels, NULL notes and notes without a letter teach nothing.
 
-    The project's observations carry no language, so the label column is the caller's. The fit uses at
-    most ``per_language`` notes of each language (those of lowest id hash); their features, 8 KB a note,
+    The project's observations carry no language, so the label column is the caller's. The fit uses
+    some ``per_language`` notes of each language (chosen by id hash); their features, 8 KB a note,
     meet on the driver. Returns None when there is nothing to learn from.
     """
     usable = observations.where(F.col("note").isNotNull() & F.col(label).isNotNull())

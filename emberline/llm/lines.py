@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.notes import HERE, map_notes, map_notes_beside, placed
-from emberline.session import cut_lineage
+from emberline.session import cut_lineage, release
 
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _DIGIT = re.compile(rb"[0-9]")
@@ -90,7 +90,10 @@ def drop_recurring_lines(
     fits = parsed.join(busy, F.col("leaf") == F.col("__l")).select(*here, "line", "around", F.explode("templates").alias("template"))
     fits = cut_lineage(fits)
     counted = fits.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(F.col("template").alias("__t"))
-    often = cut_lineage(fits.join(cut_lineage(counted), F.col("template") == F.col("__t")).drop("__t"))
+    counted = cut_lineage(counted)
+    often = cut_lineage(fits.join(counted, F.col("template") == F.col("__t")).drop("__t"))
+    for done in (parsed, busy, fits, counted):
+        release(done)
     notes = often.select("template", *here).distinct().groupBy("template").agg(F.count("*").alias("notes"))
     spots = often.select("template", "around").distinct().groupBy("template").agg(F.count("*").alias("spots"))
     order = F.struct(F.col("obs_id").isNull().alias("x"), *[F.col(c) for c in here], F.col("line"))

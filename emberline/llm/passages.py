@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.notes import HERE, map_notes, map_notes_beside, placed
-from emberline.session import cut_lineage
+from emberline.session import cut_lineage, release
 
 _BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two rolling hashes
 _WRAP = (1 << 64) - 1
@@ -146,6 +146,8 @@ def drop_repeated_passages(observations: DataFrame, window: int = 35, seed: int
     seen = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi"))
     shared = cut_lineage(seen.where("n > 1").select(F.col("anchor").alias("__a"), (F.col("lo") != F.col("hi")).alias("mixed")))
     found = cut_lineage(blocks.join(shared, F.col("anchor") == F.col("__a")).drop("__a"))
+    release(blocks)
+    release(shared)
     mixed = found.where("mixed")
     kinds = cut_lineage(mixed.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min(F.struct(*here, "first", "windows")).alias("one")))
     again = kinds.where("n > 1").select(F.col("anchor").alias("__a"), F.col("block").alias("__b"))

@@ -154,7 +154,7 @@ def fit_quality(observations: DataFrame, ratings: DataFrame, rating: str = "reli
     """Learn which notes are worth keeping from ``ratings`` (obs_id, 1 or 0).
 
     Ratings that are NULL teach nothing; an id rated twice counts with the smaller rating. The fit uses
-    at most ``per_rating`` rated notes of each value (those of lowest id hash), weighted so that both
+    some ``per_rating`` rated notes of each value (chosen by id hash), weighted so that both
     values have their share of all ratings. Their features, 17 numbers a note, meet on the driver. Without
     two classes every note gets the prior (one half when there is no rating at all).
     """

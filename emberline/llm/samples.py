@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.ordered import top_n
-
 
 def in_fold(obs_id: Column | str, folds: int = 5) -> Column:
     """Whether CRC-32 of the id as text is divisible by ``folds``; a NULL id is not in the fold."""
@@ -16,13 +14,17 @@ def in_fold(obs_id: Column | str, folds: int = 5) -> Column:
 
 
 def labelled_sample(labels: DataFrame, label: str, per_label: int) -> DataFrame:
-    """(obs_id, label): at most ``per_label`` ids of every label value, lowest hash of the id first.
+    """(obs_id, label): some ``per_label`` ids of every label value, or all where there are fewer.
 
-    Rows with a NULL id or label are left out; an id with several labels counts under the smallest.
+    An id is taken if its hash lies below the share that makes ``per_label`` of the value's ids, so the
+    choice is repeatable and needs no sorting; the number taken varies as a draw does, by a few times its
+    square root. Rows with a NULL id or label are left out; an id with several labels counts under the
+    smallest. The table of label values, one short row each, is broadcast: values are names of classes.
     """
     known = labels.where(F.col("obs_id").isNotNull() & F.col(label).isNotNull()).groupBy("obs_id").agg(F.min(label).alias(label))
-    by = [F.xxhash64("obs_id"), F.col("obs_id")]
-    return top_n(known, [label], by, per_label, F.col("obs_id")).select("obs_id", label)
+    depth = known.groupBy(F.col(label).alias("__v")).agg(F.count("*").alias("__n"))
+    place = F.shiftrightunsigned(F.xxhash64("obs_id"), 11) / F.lit(float(1 << 53))
+    return known.join(F.broadcast(depth), F.col(label) == F.col("__v")).where(place * F.col("__n") < per_label).select("obs_id", label)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, reg: float = 1e-4, rounds: int = 200) -> np.ndarray:
