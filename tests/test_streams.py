@@ -23,7 +23,7 @@ def as_stream(spark, df, folder, files=6):
 
 def test_cycle_alerts_over_shuffled_files(spark, tmp_path):
     rng = random.Random(1)
-    rows = [(k % 3, START + timedelta(minutes=7 * k), k, 1000.0 + rng.random() * 500 + (9000 if k == 31 else 0)) for k in range(60)]
+    rows = [(k % 3, START + timedelta(minutes=7 * k), k, 1000.0 + rng.random() * 500 + (900000 if k == 31 else 0)) for k in range(60)]
     df = spark.createDataFrame(rows, "fire bigint, ts timestamp, seq bigint, pred_acres double").withColumn("t", F.unix_micros("ts") / F.lit(1e6))
     out = J.drain_closed(lambda c: T.stream_cycle_alerts(c, "1 day"), as_stream(spark, df, tmp_path / "s"), "ts", "fire").collect()
     before = F.lag("pred_acres").over(Window.partitionBy("fire").orderBy("t", "seq"))
