@@ -74,15 +74,29 @@ def temporal_reachability(dets: DataFrame, seeds: DataFrame, since_s: float, max
     """Accept detections within tolerance + speed x time of an earlier accepted point.
 
     ``dets``: (fire, det_id, t, lat, lon, frp, area_m2); ``seeds``: (fire, t or NULL, lat, lon).
-    Acceptance is sequential in time, so a fire's frames run in one group. The group is
-    bounded by the lookback ``since_s`` (the source's own window is hours) and by the
-    pixel lattice: copies at one time and place collapse first and share the verdict.
+    Acceptance is sequential in time, so a fire's frames run in one group. The group is bounded by the
+    lookback ``since_s`` (the source's own window is hours) and by the pixel lattice: detections of one
+    time and place are one spot there, and each of them gets the spot's verdict with its own radius.
+    A detection with ``area_censored`` true (a saturated pixel) has no area to widen its core.
     """
     settings = {"max_speed_kmh": max_speed_kmh, "tolerance_m": tolerance_m, "subpixel_m": subpixel_m, "half_width_m": half_width_m}
     recent = dets.where(F.col("t") >= since_s)
-    spots = recent.groupBy("fire", "t", "lat", "lon").agg(
-        F.min("det_id").alias("det_id"), F.max("frp").alias("frp"), F.max("area_m2").alias("area_m2")
-    ).select("fire", "det_id", "t", "lat", "lon", "frp", "area_m2")
-    return spots.groupBy("fire").cogroup(seeds.select("fire", "t", "lat", "lon").groupBy("fire")).applyInPandas(
+    area = F.greatest(F.col("area_m2"), F.lit(0.0))
+    if "area_censored" in dets.columns:
+        area = F.when(~F.coalesce("area_censored", F.lit(False)), area)
+    place = ["fire", "t", "lat", "lon"]
+    spots = recent.groupBy(*place).agg(F.min("det_id").alias("det_id")).select(
+        "fire", "det_id", "t", "lat", "lon", F.lit(None).cast("double").alias("frp"), F.lit(None).cast("double").alias("area_m2")
+    )
+    judged = spots.groupBy("fire").cogroup(seeds.select("fire", "t", "lat", "lon").groupBy("fire")).applyInPandas(
         lambda a, b: _fire(a, b, settings), RESULT
+    ).select(F.col("fire").alias("__f"), "det_id", "accepted", "distance_m", "limit_m", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "parent_lat", "parent_lon")
+    own = recent.select(*place, "det_id", "frp", area.alias("area"))
+    rows = own.join(spots.select(*place, F.col("det_id").alias("__s")), place).join(judged.withColumnRenamed("det_id", "__j"), (F.col("fire") == F.col("__f")) & (F.col("__s") == F.col("__j")))
+    core = F.coalesce(F.sqrt(F.col("area") / F.lit(math.pi)), F.lit(0.0))
+    power = F.greatest(F.coalesce("frp", F.lit(0.0)), F.lit(0.0))
+    radius = F.greatest(F.lit(half_width_m), core + 180.0) + F.least(F.lit(180.0), F.lit(45.0) * F.log1p(power / 100.0))
+    return rows.select(
+        "fire", "det_id", "t", "accepted", "distance_m", "limit_m", F.when(F.col("accepted"), radius).alias("radius_m"),
+        F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon"), "parent_lat", "parent_lon",
     )

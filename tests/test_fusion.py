@@ -69,3 +69,13 @@ def test_kbdi_wet_run_and_cold_days(spark):
         return q
 
     assert abs(W.kbdi(df, ["k"]).first()["kbdi"] - series(days)) < 1e-9
+
+
+def test_reachability_judges_every_copy_with_its_own_radius(spark):
+    seeds = spark.createDataFrame([(1, None, 38.0, -120.0)], "fire bigint, t double, lat double, lon double")
+    rows = [(1, 1, 100.0, 38.001, -120.0, 50.0, 4e6, False), (1, 2, 100.0, 38.001, -120.0, 50.0, 4e6, True), (1, 3, 100.0, 38.001, -120.0, None, None, None)]
+    d = spark.createDataFrame(rows, "fire bigint, det_id bigint, t double, lat double, lon double, frp double, area_m2 double, area_censored boolean")
+    got = {r["det_id"]: r["radius_m"] for r in R.temporal_reachability(d, seeds, 0.0).collect() if r["accepted"]}
+    extra = 45 * math.log1p(0.5)
+    assert abs(got[1] - (math.sqrt(4e6 / math.pi) + 180 + extra)) < 1e-6
+    assert abs(got[2] - (350 + extra)) < 1e-6 and abs(got[3] - 350) < 1e-6
