@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import frames
 from emberline.functions.ordered import previous_row, top_n
-from emberline.operators.spatial import geo_radius_join
+from emberline.operators.spatial import geo_radius_join, radius_join
 from emberline.session import cut_lineage
 
 MAX_ACTIVE_CONTAINED_PCT = 90
@@ -267,3 +267,16 @@ def nearest_k(points: DataFrame, centers: DataFrame, radius_km: float, k: int) -
     d = frames.haversine_km(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     pairs = geo_radius_join(points, centers, radius_km, d)
     return top_n(pairs, ["center_id"], [F.col("d"), F.col("id")], k, F.col("id"))
+
+
+def edge_activity(edges: DataFrame, active: DataFrame, keys: list[str], limit_km: float = 1.0) -> DataFrame:
+    """Perimeter edges flagged ``active`` where a hot or recent detection is nearer than ``limit_km`` to an end.
+
+    ``edges``: (keys, part, ring, seq, x1, y1, x2, y2) and ``active``: (keys, x, y), in kilometres of one frame.
+    """
+    own = ["part", "ring", "seq"]
+    ends = edges.select(*keys, *own, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e"))
+    ends = ends.select(*keys, *own, "e.x", "e.y")
+    spots = active.select(*keys, F.col("x").alias("rx"), F.col("y").alias("ry")).distinct()
+    near = radius_join(ends, spots, limit_km, keys, inclusive=False).select(*keys, *own).distinct().withColumn("__hot", F.lit(True))
+    return edges.join(near, [*keys, *own], "left").withColumn("active", F.coalesce("__hot", F.lit(False))).drop("__hot")

@@ -8,10 +8,12 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from emberline.operators import cells as C
+from emberline.operators import detections as D
 from emberline.operators import field as M
+from emberline.operators import perimeters as P
 from emberline.operators import spatial as S
 from emberline.plans.catalog import query
-from emberline.plans.catalog_observations import JUDGED, RAW_DETS, kept_detections
+from emberline.plans.catalog_observations import JUDGED, NOW_S, RAW_DETS, kept_detections
 from emberline.plans.fixtures import cte, square_edges, view
 from emberline.session import checkpoint_root, cut_lineage
 from emberline.sources.sinks import read_snapshot, write_snapshot
@@ -320,6 +322,18 @@ def _(spark, sf):
     return C.intersect(M.drop_cells(drop_legs(i), i.grid, M.GRID_KM), near, M.KEYS).select("fire", "ix", "iy")
 
 
+@query("g12_edge_activity", FRAME + f""", q AS (SELECT fire, quantile_cont(frp, 0.75) AS p75 FROM detections GROUP BY fire),
+  a AS (SELECT d.fire, (d.lon-lon0)*kl AS x, (d.lat-lat0)*111.32e0 AS y FROM detections d JOIN q USING (fire) JOIN f USING (fire) WHERE (frp >= p75 AND p75 > 0) OR (starts_with(sensor,'GOES') AND ({NOW_S}e0 - t)/3600e0 < 0.75e0)),
+  v AS (SELECT fire, s, hx * [-1e0,1e0,1e0,-1e0,-1e0][s+1] AS x1, hy * [-1e0,-1e0,1e0,1e0,-1e0][s+1] AS y1, hx * [-1e0,1e0,1e0,-1e0,-1e0][s+2] AS x2, hy * [-1e0,-1e0,1e0,1e0,-1e0][s+2] AS y2 FROM f, range(0, 4) r(s))
+  SELECT v.fire, count(DISTINCT s) AS edges, count(DISTINCT s) FILTER (least(pow(a.x-x1,2)+pow(a.y-y1,2), pow(a.x-x2,2)+pow(a.y-y2,2)) < 1) AS active FROM v LEFT JOIN a USING (fire) GROUP BY v.fire""")
+def _(spark, sf):
+    i = inputs(spark, sf)
+    hot = D.active_detections(view(spark, sf, "detections"), NOW_S).withColumn("step", F.lit(0)).join(i.frame.select(*M.KEYS, "lon0", "lat0", "km_lon"), M.KEYS)
+    hot = hot.select(*M.KEYS, ((F.col("lon") - F.col("lon0")) * F.col("km_lon")).alias("x"), ((F.col("lat") - F.col("lat0")) * 111.32).alias("y"))
+    flagged = P.edge_activity(i.base, hot, M.KEYS)
+    return flagged.groupBy("fire").agg(F.count("*").alias("edges"), F.count_if("active").alias("active"))
+
+
 def cycle(i, scored, drops):
     """From scored cells to one summary row per fire."""
     perim = cut_lineage(M.predict_perimeter(scored, i.base, i.grid, i.local, drops=drops))
