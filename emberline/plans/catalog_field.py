@@ -25,9 +25,16 @@ PER_CELL = 250.0**2 / 4046.86
 _MADE: dict = {}
 
 
+def data_state(spark, sf) -> tuple:
+    """What lies in a data folder now: names, sizes and times, through whatever file system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
 def made(spark, sf, what, build):
-    """Tables several queries start from are written once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf, what)
+    """Tables several queries start from are written once per session and state of the data folder."""
+    key = (spark.sparkContext.applicationId, sf, data_state(spark, sf), what)
     if key not in _MADE:
         _MADE[key] = build()
     return _MADE[key]
