@@ -127,7 +127,7 @@ def pack_notes(
     def windows(batches) -> Iterator[tuple[list, list[bytes], list]]:
         encoder = Encoder.shared(sent.value)
         ids, packed, losses, held = [], [], [], 0
-        for part in slices(batches, SLICE):
+        for part in slices(batches, 2 * SLICE):
             cut = [words(n) for n in texts(part.column("note").to_pylist())]
             table = encoder.ids(set().union(*cut))
             for i, pieces, w in zip(part.column("obs_id").to_pylist(), cut, part.column("__loss").to_pylist()):

@@ -94,8 +94,8 @@ class Encoder:
     """Ids of single pieces, merged many at a time, with caches that live as long as the worker.
 
     Plain pieces are single pre-tokens and go through the merge table; long and other pieces go to the
-    library. A cache is emptied when it holds ``most`` pieces, so a worker's memory stays bounded
-    however many different pieces a task meets.
+    library. A cache that would outgrow ``most`` pieces keeps those of the current slice, which holds the
+    frequent ones, so a worker's memory stays bounded however many different pieces a task meets.
     """
 
     def __init__(self, spec: str, most: int = 250_000):
@@ -134,8 +134,7 @@ class Encoder:
         """A table that holds at least ``pieces`` with their ids; ``known`` is asked for new ones first."""
         new = list(pieces.difference(self.cache))
         if len(self.cache) + len(new) > self.most:
-            self.cache.clear()
-            new = list(pieces)
+            self.cache = {p: self.cache[p] for p in pieces if p in self.cache}
         if known is not None:
             answers = known(new)
             self.cache.update((p, a) for p, a in zip(new, answers) if a is not None)
@@ -145,9 +144,10 @@ class Encoder:
 
     def lengths(self, pieces: set[str], known: dict[str, int]) -> dict[str, int]:
         """A table that holds at least ``known`` and ``pieces`` with the number of their ids."""
-        if not self.counts or len(self.counts) > self.most:
-            self.counts = dict(known)
         new = list(pieces.difference(self.counts))
+        if not self.counts or len(self.counts) + len(new) > self.most:
+            self.counts = dict(known) | {p: self.counts[p] for p in pieces if p in self.counts}
+            new = list(pieces.difference(self.counts))
         self.counts.update(zip(new, (len(i) // 4 for i in self.encode(new))))
         return self.counts
 
