@@ -17,8 +17,8 @@ from emberline.llm.packing import pack_notes
 from emberline.llm.passages import drop_repeated_passages
 from emberline.llm.quality import fit_quality, keep_reliable
 from emberline.llm.queries import notes_of, vocabulary
+from emberline.llm.resemblance import keep_one_of_resembling
 from emberline.llm.samples import in_fold
-from emberline.llm.simhash import keep_one_of_group
 from emberline.session import cut_lineage
 
 
@@ -47,8 +47,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest doc_id."""
-    return _docs(keep_one_of_group(_notes(docs), shingle_words=4, radius=4), docs)
+    """One document of each group linked by SimHash or by shared five-word shingles: that of the smallest doc_id."""
+    return _docs(keep_one_of_resembling(_notes(docs), shingle_words=4, radius=4, share_words=5, least_share=0.8), docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,13 +17,12 @@ from emberline.session import cut_lineage
 SEED = 42
 
 
-def simhash(notes: list[bytes], shingle_words: int) -> np.ndarray:
-    """64-bit fingerprints: a bit is 1 if it is set in over half the XXH64 values of the word shingles."""
+def shingle_hashes(notes: list[bytes], shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 values of the word shingles of all notes in a row, and how many each note has (none if blank)."""
     cut = [n.lower().split() for n in notes]  # bytes: lowers A-Z only, cuts at ASCII white space
     size = np.fromiter(map(len, cut), np.int64, len(cut))
-    out = np.zeros(len(notes), np.uint64)
     if not size.sum():
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(notes), np.int64)
     words = [w for c in cut for w in c]
     joined = b" ".join(words)
     length = np.fromiter(map(len, words), np.int64, len(words))
@@ -35,7 +34,16 @@ def simhash(notes: list[bytes], shingle_words: int) -> np.ndarray:
     first = np.repeat(begin_doc - begin, many) + np.arange(many.sum())
     last = first + np.repeat(np.minimum(size, shingle_words), many) - 1
     shingles = [joined[a:b] for a, b in zip(start[first].tolist(), end[last].tolist())]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)), many
+
+
+def simhash(notes: list[bytes], shingle_words: int) -> np.ndarray:
+    """64-bit fingerprints: a bit is 1 if it is set in over half the XXH64 values of the word shingles."""
+    hashes, many = shingle_hashes(notes, shingle_words)
+    out = np.zeros(len(notes), np.uint64)
+    if not len(hashes):
+        return out
+    begin = np.cumsum(many) - many
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     full = np.flatnonzero(many)
     ones = np.add.reduceat(bits, begin[full], axis=0, dtype=np.int32)
@@ -159,8 +167,8 @@ def close_fingerprints(fingerprints: DataFrame, radius: int = 4, share: int = 51
     return dealt.mapInArrow(link, "a bigint, b bigint")
 
 
-def _components(rows: DataFrame, radius: int) -> DataFrame:
-    """(fingerprint, component): of the different fingerprints of ``rows``."""
+def fingerprint_components(rows: DataFrame, radius: int) -> DataFrame:
+    """(__f, component): of the different fingerprints of ``rows``."""
     nodes = cut_lineage(rows.select("fingerprint").distinct())
     parts = components(close_fingerprints(nodes, radius))
     placed = nodes.join(parts, F.col("fingerprint") == F.col("node"), "left")
@@ -178,7 +186,7 @@ def group_notes(observations: DataFrame, shingle_words: int = 4, radius: int = 4
     gives an empty one.
     """
     rows = cut_lineage(fingerprint_notes(observations, shingle_words))
-    parts = _components(rows, radius)
+    parts = fingerprint_components(rows, radius)
     first = rows.groupBy("fingerprint").agg(F.min("obs_id").alias("first_id"))
     placed = first.join(parts, F.col("fingerprint") == F.col("__f"))
     lowest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -194,7 +202,11 @@ def keep_one_of_group(observations: DataFrame, shingle_words: int = 4, radius: i
     smaller hash of the note); of rows that agree in id and note, one.
     """
     rows = cut_lineage(fingerprint_notes(observations, shingle_words))
-    parts = _components(rows, radius)
+    return keep_first(observations, rows, fingerprint_components(rows, radius))
+
+
+def keep_first(observations: DataFrame, rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of ``observations`` that come first in their component, by ``rows`` (obs_id, note_hash, fingerprint) and ``parts``."""
     named = rows.join(parts, F.col("fingerprint") == F.col("__f"))
     order = F.struct(F.col("obs_id").isNull().alias("none"), F.coalesce("obs_id", F.lit(0)).alias("id"), F.col("note_hash").alias("hash"))
     kept = named.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
