@@ -42,14 +42,22 @@ def line_keys(line: bytes, depth: int, least_general: int) -> tuple[int, list[in
 
 
 def note_lines(note: bytes, depth: int, least_tokens: int, least_general: int) -> list[tuple[int, int, int, list[int]]]:
-    """(line number, leaf, surroundings, templates) of every line with ``least_tokens`` tokens or more."""
+    """(line number, leaf, surroundings, templates) of every line that is not blank.
+
+    A line of fewer than ``least_tokens`` tokens is its own leaf and only template, digits and all.
+    """
     lines = note.split(b"\n")
     mark = [xxhash.xxh64_intdigest(x) for x in lines]
     out = []
     for k, line in enumerate(lines):
-        if len(line.split(None, least_tokens - 1)) < least_tokens:
+        tokens = line.split(None, least_tokens - 1)
+        if not tokens:
             continue
-        leaf, keys = line_keys(line, depth, least_general)
+        if len(tokens) < least_tokens:
+            leaf = xxhash.xxh64_intdigest(b" ".join(line.split()), 2)
+            keys = [leaf]
+        else:
+            leaf, keys = line_keys(line, depth, least_general)
         around = xxhash.xxh64_intdigest(b"%d %d" % (mark[k - 1] if k else 0, mark[k + 1] if k + 1 < len(lines) else 0))
         out.append((k, leaf, around, keys))
     return out
@@ -64,7 +72,7 @@ def drop_recurring_lines(
     notes and in as many different surroundings (the lines before and after), so the lines of a note that
     was copied as a whole do not count as recurring. Every line of a recurring template is dropped but the
     first: that of the smallest obs_id (NULL last), then of the smallest hash of the note and line number. Lines of fewer than
-    ``least_tokens`` tokens say too little to be templates and stay.
+    ``least_tokens`` tokens recur only as they are, their digits included; blank lines stay.
 
     A NULL note is empty; an empty note has no lines; a note that loses nothing comes back unchanged, and
     one that loses every line comes back empty, its row is kept. Repeated rows are one note here: they
