@@ -41,13 +41,12 @@ def line_keys(line: bytes, depth: int, least_general: int) -> tuple[int, list[in
     return leaf, [xxhash.xxh64_intdigest(b"%d %d" % (k, (total - e) & _WRAP), leaf) for k, e in enumerate([0, *each])]
 
 
-def note_lines(note: bytes, depth: int, least_tokens: int, least_general: int) -> list[tuple[int, int, int, list[int]]]:
-    """(line number, leaf, surroundings, templates) of every line that is not blank.
+def note_lines(note: bytes, depth: int, least_tokens: int, least_general: int) -> list[tuple[int, int, list[int]]]:
+    """(line number, leaf, templates) of every line that is not blank.
 
     A line of fewer than ``least_tokens`` tokens is its own leaf and only template, digits and all.
     """
     lines = note.split(b"\n")
-    mark = [xxhash.xxh64_intdigest(x) for x in lines]
     out = []
     for k, line in enumerate(lines):
         tokens = line.split(None, least_tokens - 1)
@@ -58,8 +57,7 @@ def note_lines(note: bytes, depth: int, least_tokens: int, least_general: int) -
             keys = [leaf]
         else:
             leaf, keys = line_keys(line, depth, least_general)
-        around = xxhash.xxh64_intdigest(b"%d %d" % (mark[k - 1] if k else 0, mark[k + 1] if k + 1 < len(lines) else 0))
-        out.append((k, leaf, around, keys))
+        out.append((k, leaf, keys))
     return out
 
 
@@ -68,9 +66,9 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """obs_id, note, n_lines, n_dropped (and the ``carry`` columns) per observation.
 
-    Lines end at a line feed. A template recurs when lines that fit it stand in ``least_docs`` different
-    notes and in as many different surroundings (the lines before and after), so the lines of a note that
-    was copied as a whole do not count as recurring. Every line of a recurring template is dropped but the
+    Lines end at a line feed. A template recurs when lines that fit it stand in notes of ``least_docs``
+    different texts, whatever stands around them, so the lines of a note that was only copied as a whole do
+    not count as recurring. Every line of a recurring template is dropped but the
     first: that of the smallest obs_id (NULL last), then of the smallest hash of the note and line number. Lines of fewer than
     ``least_tokens`` tokens recur only as they are, their digits included; blank lines stay.
 
@@ -88,25 +86,24 @@ def drop_recurring_lines(
             found = [(r, *x) for r, n in enumerate(notes) for x in note_lines(n, depth, least_tokens, least_general)]
             return {
                 "rows": [f[0] for f in found], "line": [f[1] for f in found], "leaf": [_signed(f[2]) for f in found],
-                "around": [_signed(f[3]) for f in found], "templates": [[_signed(k) for k in f[4]] for f in found],
+                "templates": [[_signed(k) for k in f[3]] for f in found],
             }
 
         return lines
 
-    parsed = cut_lineage(map_notes(source, parse, "line int, leaf bigint, around bigint, templates array<bigint>", "note_hash"))
+    parsed = cut_lineage(map_notes(source, parse, "line int, leaf bigint, templates array<bigint>", "note_hash"))
     busy = cut_lineage(parsed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(F.col("leaf").alias("__l")))
-    fits = parsed.join(busy, F.col("leaf") == F.col("__l")).select(*here, "line", "around", F.explode("templates").alias("template"))
+    fits = parsed.join(busy, F.col("leaf") == F.col("__l")).select(*here, "line", F.explode("templates").alias("template"))
     fits = cut_lineage(fits)
     counted = fits.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(F.col("template").alias("__t"))
     counted = cut_lineage(counted)
     often = cut_lineage(fits.join(counted, F.col("template") == F.col("__t")).drop("__t"))
     for done in (parsed, busy, fits, counted):
         release(done)
-    notes = often.select("template", *here).distinct().groupBy("template").agg(F.count("*").alias("notes"))
-    spots = often.select("template", "around").distinct().groupBy("template").agg(F.count("*").alias("spots"))
+    texts = often.select("template", "note_hash").distinct().groupBy("template").agg(F.count("*").alias("texts"))
     order = F.struct(F.col("obs_id").isNull().alias("x"), *[F.col(c) for c in here], F.col("line"))
     first = often.groupBy("template").agg(F.min(order).alias("first"))
-    recurring = first.join(notes.where(F.col("notes") >= least_docs), "template").join(spots.where(F.col("spots") >= least_docs), "template")
+    recurring = first.join(texts.where(F.col("texts") >= least_docs), "template")
     recurring = cut_lineage(recurring.select(F.col("template").alias("__t"), "first"))
     gone = often.join(recurring, F.col("template") == F.col("__t")).where(order != F.col("first")).groupBy(*here).agg(F.collect_set("line").alias("gone"))
 

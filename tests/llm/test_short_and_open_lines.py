@@ -25,3 +25,17 @@ def test_lines_of_one_and_two_tokens_recur_as_they_are(spark):
     for k in range(1, 6):
         assert left[k] == [x for x in rows[k][1].split("\n") if x not in ("And ornd.", "Les.")]
     assert all(len(left[10 + k]) == 3 for k in range(4))
+
+
+def test_blocks_footers_and_single_line_notes_recur(spark):
+    rng = random.Random(2)
+    block = ["Top of the banner", "Middle of the banner", "End of the banner"]
+    rows = [(k, "\n".join([prose(rng, 8), *block, prose(rng, 8), "Foot of the page", "Last line of all"])) for k in range(7)]
+    rows += [(20 + k, f"Station report number {k} received") for k in range(6)]
+    whole = "\n".join(prose(rng, 6) for _ in range(3))
+    rows += [(50 + k, whole) for k in range(9)]
+    left = dropped(spark, rows)
+    assert left[0] == rows[0][1].split("\n") and len(left[20]) == 1
+    assert all(len(left[k]) == 2 for k in range(1, 7))
+    assert all(left[20 + k] == [] for k in range(1, 6))
+    assert all(left[50 + k] == whole.split("\n") for k in range(9))
