@@ -39,3 +39,20 @@ def test_blocks_footers_and_single_line_notes_recur(spark):
     assert all(len(left[k]) == 2 for k in range(1, 7))
     assert all(left[20 + k] == [] for k in range(1, 6))
     assert all(left[50 + k] == whole.split("\n") for k in range(9))
+
+
+def test_scattered_and_short_variable_words_are_opened(spark):
+    rng = random.Random(3)
+    name = lambda: f"n{''.join(rng.choice('abcdefgh') for _ in range(9))}"
+    few = [name() for _ in range(8)]
+    frame = "This article first came out in the {} weekly and was sent to us by our reader {} who owns all rights to it"
+    rows = [(k, f"{prose(rng, 8)}\nPosted in the {name()} section\n{prose(rng, 9)}") for k in range(8)]
+    rows += [(20 + k, f"{prose(rng, 8)}\n{frame.format(name(), name())}") for k in range(8)]
+    rows += [(40 + k, f"{prose(rng, 8)}\nWritten on a day for {few[k // 8]} readers and {few[k % 8]} writers of all ages") for k in range(64)]
+    rows += [(200 + k, f"{prose(rng, 8)}\nWe saw that {prose(rng, 4)}") for k in range(8)]
+    left = dropped(spark, rows)
+    assert len(left[0]) == 3 and len(left[20]) == 2 and len(left[40]) == 2
+    assert all(len(left[k]) == 2 for k in range(1, 8))
+    assert all(len(left[20 + k]) == 1 for k in range(1, 8))
+    assert all(len(left[40 + k]) == 1 for k in range(1, 64))
+    assert all(len(left[200 + k]) == 2 for k in range(8))
