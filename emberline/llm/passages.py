@@ -1,16 +1,14 @@
-"""Repeated passages of notes: relative Lempel-Ziv factors against a reference of all notes.
+"""Repeated passages of notes: anchored blocks of word windows, in place of a relative Lempel-Ziv parse.
 
-Every note is both a reference and a document to be parsed. The reference is indexed in blocks that
-the text itself delimits, so that equal passages fall into equal blocks wherever they stand: each
+Every note is compared with all notes. They are indexed in blocks that the text itself delimits, so that equal passages fall into equal blocks wherever they stand: each
 window of ``window`` words is represented by an anchor, the seed of ``seed`` consecutive words within
 it that has the smallest hash (the leftmost of equals), and the consecutive windows with one anchor
 form a block. Two equal windows have the same anchor, hence they lie in blocks of the same anchor.
 
-Parsing a note against all blocks at once then takes two steps. A block that occurs again as a whole
-goes into a factor entirely, and such blocks in a row are one long factor, extended greedily. At factor
-boundaries blocks share an anchor with others but not all of their words; there every single window is
-checked against those of the other blocks. Factors reach ``window`` words or more by construction, and
-what they cover is what is repeated.
+Comparing a note with all blocks at once then takes two steps. A block that occurs again as a whole is
+repeated entirely. Other blocks share an anchor but not all of their words; there every single window is
+checked against those of the other blocks. The union of these spans, each ``window`` words or more, is
+what is repeated. No match is extended and no note is factored greedily.
 """
 
 from __future__ import annotations
