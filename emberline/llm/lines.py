@@ -123,12 +123,12 @@ def drop_recurring_lines(
 
         return lines
 
-    parsed = cut_lineage(map_notes(source, parse, "line int, leaf bigint, templates array<bigint>, tail binary", "note_hash"))
+    parsed = cut_lineage(map_notes(source, parse, "line int, leaf bigint, templates array<bigint>, tail binary", "note_hash", most=1 << 18))
     busy = cut_lineage(parsed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(F.col("leaf").alias("__l")))
     inside = cut_lineage(parsed.join(busy, F.col("leaf") == F.col("__l")).drop("__l"))
     fits = cut_lineage(inside.select(*here, "line", F.explode("templates").alias("template")))
     varied = inside.where("tail IS NOT NULL").select(*here, "line", "leaf", "tail", F.col("templates")[0].alias("exact"))
-    alike = varied.groupBy("exact", "leaf", "note_hash").agg(F.first("tail").alias("tail")).groupBy("exact", "leaf").agg(F.first("tail").alias("tail"), F.count("*").alias("n"))
+    alike = varied.select("exact", "leaf", "tail", "note_hash").distinct().groupBy("exact", "leaf", "tail").agg(F.count("*").alias("n"))
     opened = open_templates(cut_lineage(alike), depth, least_docs).withColumnRenamed("exact", "__e")
     wider = varied.join(opened, F.col("exact") == F.col("__e")).select(*here, "line", "template")
     counted = fits.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(F.col("template").alias("__t"))
