@@ -289,11 +289,11 @@ def training_rows(spark, sf):
 
 @query("m03_fit_and_score")
 def _(spark, sf):
-    """Fit on every fire and score every cell. Few, shallow trees keep the check short; the library default is the full setting."""
+    """Fit on every fire with the full settings and score every cell."""
     i, labelled = training_rows(spark, sf)
     kept = M.negative_sample(labelled)
     r = M.cohort_balance(labelled, kept).first()["retained"]
-    model = M.fit_field(kept, maxIter=5, maxDepth=4)
+    model = M.fit_field(kept)
     scored = M.predict_field(model, labelled, r)
     rows = scored.join(labelled.select(*M.CELL, "label"), M.CELL)
     return rows.groupBy("fire").agg(F.count("*").alias("n_cells"), F.sum("label").alias("n_pos"), F.sum("p").alias("p_mass"))
@@ -302,7 +302,8 @@ def _(spark, sf):
 @query("m04_lofo_evaluate")
 def _(spark, sf):
     _, labelled = training_rows(spark, sf)
-    return M.lofo_evaluate(labelled, M.negative_sample(labelled), [1, 2], maxIter=3, maxDepth=3).drop("step")
+    fires = [r["fire"] for r in labelled.select("fire").distinct().orderBy("fire").collect()]
+    return M.lofo_evaluate(labelled, M.negative_sample(labelled), fires).drop("step")
 
 
 @query("m06_predict_perimeter")
@@ -348,11 +349,11 @@ def cycle(i, scored, drops):
 
 
 def fitted(spark, sf, i):
-    """Cells scored by a model fitted on all fires; its trees are few, so that a check ends."""
+    """Cells scored by a model fitted on all fires with the full settings."""
     _, labelled = training_rows(spark, sf)
     kept = M.negative_sample(labelled)
     r = M.cohort_balance(labelled, kept).first()["retained"]
-    return cut_lineage(M.predict_field(M.fit_field(kept, maxIter=5, maxDepth=4), labelled, r))
+    return cut_lineage(M.predict_field(M.fit_field(kept), labelled, r))
 
 
 @query("m07_predict_run")
