@@ -179,19 +179,19 @@ def _(spark, sf):
     return A.instant_drop_flag(t).select("pt", "drop", "kind")
 
 
-def recent_segments(spark, sf):
-    t = view(spark, sf, "track").where("t >= 1704067200 AND t < 1706400000").withColumn("kind", F.lit("unknown"))
+def drop_segments(spark, sf):
+    t = view(spark, sf, "track").withColumn("kind", F.lit("unknown"))
     return A.segment_summary(t, DAY()).where("drop")
 
 
 @query("c02_greedy_cluster")
 def _(spark, sf):
-    return A.greedy_cluster(recent_segments(spark, sf), 1.2).select("icao", "run", "cluster", "cluster_n", "cluster_lon", "cluster_lat")
+    return A.greedy_cluster(drop_segments(spark, sf), 1.2).select("icao", "run", "cluster", "cluster_n", "cluster_lon", "cluster_lat")
 
 
 @query("w09_shuttle_detection")
 def _(spark, sf):
-    out = A.shuttle_detection(recent_segments(spark, sf), 2, 1.2)
+    out = A.shuttle_detection(drop_segments(spark, sf), 2, 1.2)
     return out.select("icao", "callsign", "n_round_trips", F.col("away.spread_km").alias("away_spread_km"), F.col("away.visits").alias("away_visits"))
 
 
