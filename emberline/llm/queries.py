@@ -181,3 +181,98 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = drop_recurring_lines(notes_of(spark, sf_dir))
     return back(kept.select("obs_id", "n_lines", "n_dropped", F.sha2("note", 256).alias("kept_sha256")))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS low FROM d
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > low THEN 'E' ELSE '' END AS fails
+  FROM w
+), rated AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), p AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN rated USING (doc_id) GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders
+), judged AS (
+  SELECT *, filter_order[step] AS letter, contains(fails, filter_order[step]) AS failing,
+    translate(filter_order[1:step - 1], fails, '') = filter_order[1:step - 1] AS there
+  FROM p, steps
+), r AS (
+  SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (there AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (there AND failing), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (NOT there AND failing), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (there AND failing), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (there AND failing), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.audit import audit_filters
+
+    ratings = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = ratings.select(F.col("doc_id").alias("obs_id"), F.col("quality").alias("reliable"), F.col("toxic").alias("harmful"))
+    return audit_filters(notes_of(spark, sf_dir, "source"), ratings)
+
+
+@query("op13_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.nearest import nearest_cells
+
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    cells = table.select(F.col("vec_id").alias("cell_id"), F.col("embedding").alias("features"))
+    found = nearest_cells(cells, cells.where(F.col("cell_id") % 100 == 0), k=10)
+    return found.select(F.col("cell_id").alias("query_id"), "rank", F.col("neighbour").alias("vec_id"), F.col("distance").alias("score"))
+
+
+OP11_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+    length(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+  SELECT conv_id, list({'t': md5(t), 'words': words} ORDER BY pos) AS turns FROM ordered GROUP BY conv_id
+), crc_table AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)
+), steps AS (SELECT list(v ORDER BY i) AS v FROM crc_table
+), heads AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda k: ascii((conv_id::VARCHAR)[k])::BIGINT)),
+    lambda c, b: xor(c // 256, v[xor(c, b) % 256 + 1])), 4294967295) % 4 AS h FROM lists, steps
+), rebuilt AS (
+  SELECT a.conv_id, coalesce(b.turns[1:h], []) || a.turns[h + 1:] AS turns
+  FROM lists a JOIN heads USING (conv_id) LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 20
+), rows AS (
+  SELECT conv_id, depth, md5(array_to_string(list_transform(turns[1:depth], lambda x: x.t), '')) AS k, turns[depth].words AS words,
+    CASE WHEN depth > 0 THEN md5(array_to_string(list_transform(turns[1:depth - 1], lambda x: x.t), '')) END AS pk, len(turns) = depth AS last
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT depth, k, pk, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(words), 0) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM rows GROUP BY depth, k, pk
+), full_nodes AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, coalesce(c.n, 0)::BIGINT AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.pk LEFT JOIN (SELECT depth, pk, count(*) AS n FROM nodes GROUP BY ALL) c ON c.depth = n.depth + 1 AND c.pk = n.k
+), sums AS (
+  SELECT r.depth, r.k, sum((v.n_children = 0)::INT)::BIGINT AS n_leaves, sum((v.n_convs - 1) * v.words)::BIGINT AS saved_tokens
+  FROM full_nodes v JOIN rows r ON r.conv_id = v.conv_id AND r.depth <= v.depth GROUP BY ALL
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_nodes JOIN sums USING (depth, k)
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.prefixes import prefix_trie
+
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), group=20, shared=3)
