@@ -7,6 +7,7 @@ import heapq
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,8 +188,8 @@ def _meet(entries: DataFrame, asked: DataFrame, k: int, share: int) -> DataFrame
 
     ``entries`` (bucket, node, vector, ids) and ``asked`` (bucket, cell_id, vector). Only buckets that are asked
     for are read. A bucket with more than ``share`` entries is cut into shares by hash, and what asks for it
-    goes to each of them, so no task holds a bucket; a task answers with the ``k`` + 1 nearest vectors and
-    their ids per share, never with all pairs.
+    goes to each of them, so no task holds a bucket; a task answers with the ``k`` nearest neighbours per query of
+    all its shares, never with all pairs.
     """
     many = entries.groupBy("bucket").agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
     wanted = cut_lineage(asked.select("bucket").distinct().join(many, "bucket").select(F.col("bucket").alias("__b"), "shares"))
@@ -204,23 +205,42 @@ def _meet(entries: DataFrame, asked: DataFrame, k: int, share: int) -> DataFrame
     arrow = to_arrow_schema(schema)
 
     def answer(batches):
+        held = []
         for table in _runs(batches):
-            is_asked = table.column("ids").is_null().to_numpy()
-            if is_asked.all() or not is_asked.any():
+            held += in_run(table)
+            if sum(map(len, held)) > 1 << 17:
+                held = [best(held)]
+                if len(held[0]) > 1 << 16:
+                    yield as_batch(held.pop())
+        if held:
+            yield as_batch(best(held))
+
+    def best(held: list[pd.DataFrame]) -> pd.DataFrame:
+        """Of what a task has found, the k nearest different neighbours of each query."""
+        rows = pd.concat(held).sort_values(["distance", "neighbour"], kind="stable")
+        return rows.drop_duplicates(["cell_id", "neighbour"]).groupby("cell_id", sort=False).head(k)
+
+    def as_batch(rows: pd.DataFrame) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[f.name].tolist(), f.type) for f in arrow], schema=arrow)
+
+    def in_run(table: pa.Table) -> list[pd.DataFrame]:
+        out = []
+        is_asked = table.column("ids").is_null().to_numpy()
+        if is_asked.all() or not is_asked.any():
+            return out
+        data = table.column("vector").to_pylist()
+        ids = table.column("ids").to_pylist()
+        names = table.column("cell_id").to_pylist()
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        for n in np.unique(size):  # two buckets may share a key, lengths do not mix
+            q, e = (np.flatnonzero((size == n) & x) for x in (is_asked, ~is_asked))
+            if not len(q) or not len(e):
                 continue
-            data = table.column("vector").to_pylist()
-            ids = table.column("ids").to_pylist()
-            names = table.column("cell_id").to_pylist()
-            size = np.fromiter(map(len, data), np.int64, len(data))
-            for n in np.unique(size):  # two buckets may share a key, lengths do not mix
-                q, e = (np.flatnonzero((size == n) & x) for x in (is_asked, ~is_asked))
-                if not len(q) or not len(e):
-                    continue
-                i, j, d = closest(*(np.stack([np.frombuffer(data[r], "<f8") for r in x]) for x in (q, e)), k + 1)
-                i, j = q[i], e[j]
-                rows = [(names[a], x, y) for a, b, y in zip(i.tolist(), j.tolist(), d.tolist()) for x in ids[b] if x != names[a]]
-                for lo in range(0, len(rows), 1 << 15):
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo : lo + (1 << 15)]], arrow.field(c).type) for c in range(3)], schema=arrow)
+            i, j, d = closest(*(np.stack([np.frombuffer(data[r], "<f8") for r in x]) for x in (q, e)), k + 1)
+            rows = [(names[a], x, y) for a, b, y in zip(q[i].tolist(), e[j].tolist(), d.tolist()) for x in ids[b] if x != names[a]]
+            if rows:
+                out.append(pd.DataFrame(rows, columns=[f.name for f in arrow]))
+        return out
 
     return together.mapInArrow(answer, schema)
 
