@@ -12,7 +12,6 @@ from pyspark.sql.streaming import DataStreamWriter
 from emberline.functions import frames
 from emberline.operators import aircraft as A
 from emberline.operators import detections as D
-from emberline.operators.health import latest_per_fire
 from emberline.session import checkpoint_root
 
 
@@ -32,10 +31,10 @@ def split_rejects(batch: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
 
 
 def detection_writer(raw: DataFrame, cutoff, kept_path: str, reject_path: str) -> DataStreamWriter:
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         kept, rejected = split_rejects(batch, cutoff)
-        kept.write.mode("append").parquet(kept_path)
-        rejected.write.mode("append").parquet(reject_path)
+        kept.write.mode("overwrite").parquet(f"{kept_path}/epoch={epoch}")
+        rejected.write.mode("overwrite").parquet(f"{reject_path}/epoch={epoch}")
 
     return raw.writeStream.foreachBatch(write)
 
@@ -45,13 +44,34 @@ def track_batch(states: DataFrame, fleet: DataFrame, altimeters: DataFrame, prio
 
     ``altimeters``: (icao, altim_inhg), the nearest setting per aircraft, possibly missing.
     """
-    merged = A.multi_feed_merge(states, priority)
-    rows = A.registry_lookup(merged.where(~F.col("on_ground")), fleet).join(altimeters, "icao", "left")
+    return classify_states(A.multi_feed_merge(states, priority), fleet, altimeters, ground_m)
+
+
+def classify_states(merged: DataFrame, fleet: DataFrame, altimeters: DataFrame, ground_m) -> DataFrame:
+    """Airborne fire aircraft of merged states, with registry entry, corrected altitude and drop flag; joins with static tables only."""
+    side = altimeters.select(F.col("icao").alias("__i"), "altim_inhg")
+    rows = A.registry_lookup(merged.where(~F.col("on_ground")), fleet).join(side, F.col("icao") == F.col("__i"), "left").drop("__i")
     rows = A.baro_to_msl(rows).withColumn("agl_m", F.col("alt_m") - ground_m)
     fire = rows.where(F.col("registry_role").isNotNull() | A.fire_callsign(F.col("callsign")))
     return A.instant_drop_flag(fire)
 
 
+def stream_tracks(states: DataFrame, fleet: DataFrame, altimeters: DataFrame, priority: list[str], ground_m, every: str = "1 minute", late: str = "5 minutes") -> DataFrame:
+    """Polls of several feeds as a stream: per aircraft and poll window the best feed, then as in ``track_batch``.
+
+    ``states``: (icao, feed, seq, ts, callsign, lat, lon, alt_m, spd_ms, alt_source, on_ground). The state of an aircraft and
+    window is one row, the best so far by feed and ``seq``; it leaves when the watermark passes the window, so
+    feeds may come in any order. Registry and altimeter settings are static tables of the trigger.
+    """
+    rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("feed"))
+    cols = [c for c in states.columns if c not in ("icao", "seq", "feed")]
+    best = F.min(F.struct(rank.alias("p"), "seq", "feed", *cols)).alias("r")
+    # A row without an aircraft only moves the watermark.
+    polls = states.where((rank > 0) | F.col("icao").isNull()).withWatermark("ts", late).groupBy(F.window("ts", every).alias("poll"), "icao").agg(best)
+    merged = polls.select("poll", "icao", "r.feed", "r.seq", *[f"r.{c}" for c in cols])
+    return classify_states(merged, fleet, altimeters, ground_m)
+
+
 def stream_loitering(points: DataFrame, min_points: int = 4, max_spread_km: float = 10.0, max_spd: float = 110.0,
                      lookback: str = "20 minutes", every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Loitering over a sliding lookback; needs an event-time column ``ts``."""
@@ -79,17 +99,6 @@ def stream_latest_fill(pixels: DataFrame, tile_km: float = 2.0) -> DataFrame:
     return D.latest_fill_per_tile(pixels, tile_km)
 
 
-def cycle_writer(cycles: DataFrame, history_path: str, latest: Callable[[DataFrame], None] | None = None, every: str = "5 minutes") -> DataStreamWriter:
-    """Per trigger: append the cycle's rows, then hand the newest row per fire to ``latest``."""
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").partitionBy("fire").parquet(history_path)
-        if latest is not None:
-            latest(latest_per_fire(batch.sparkSession.read.parquet(history_path)))
-
-    return cycles.writeStream.foreachBatch(write).trigger(processingTime=every)
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
@@ -102,7 +111,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def _run(stream: DataFrame, root: str, mode: str) -> None:
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch", F.lit(epoch)).write.mode("append").parquet(f"{root}/rows")
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={epoch}")  # a batch that runs again replaces itself
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/progress").foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
