@@ -10,16 +10,18 @@ from itertools import count, permutations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from emberline.llm.notes import noted, slices
+from emberline.llm.notes import noted, slices, small_batches
 from emberline.session import cut_lineage, release
 
 FILTERS = "ABCDE"
+ID_BITS = 62
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _CAPITALS = np.isin(np.arange(256), np.arange(65, 91))
 _FOLLOWS = np.isin(np.arange(256), np.arange(128, 192))  # bytes that do not begin a code point
@@ -40,60 +42,90 @@ def _words(note: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
         at = stop
 
 
-def csr_rows(notes: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, row bounds, column of each entry, its count) of the notes: one row a note, columns by first appearance."""
-    column: dict[bytes, int] = defaultdict(count().__next__)
-    bounds, columns, counts = [0], [], []
-    for note in notes:
-        parts = [np.fromiter(map(column.__getitem__, words), np.int32, len(words)) for words in _words(note)]
+class CsrRows:
+    """Rows of a document-term matrix, one a note, with columns by first appearance of the word."""
+
+    def __init__(self):
+        self.column: dict[bytes, int] = defaultdict(count().__next__)
+        self.bounds, self.columns, self.counts = [0], [], []
+
+    def add(self, note: bytes) -> None:
+        parts = [np.fromiter(map(self.column.__getitem__, words), np.int32, len(words)) for words in _words(note)]
         here, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int32), return_counts=True)
-        columns.append(here)
-        counts.append(n.astype(np.int32))
-        bounds.append(bounds[-1] + len(here))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
-    return list(column), np.array(bounds, np.int64), join(columns), join(counts)
+        self.columns.append(here)
+        self.counts.append(n.astype(np.int32))
+        self.bounds.append(self.bounds[-1] + len(here))
+
+    def arrays(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, row bounds, column of each entry, its count."""
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        return list(self.column), np.array(self.bounds, np.int64), join(self.columns), join(self.counts)
 
 
-def term_shards(observations: DataFrame, part: str, most: int) -> DataFrame:
-    """One row per slice of notes: its CSR arrays over its own words, those words, and its notes with what the text alone shows."""
+def term_shards(observations: DataFrame, part: str, most: int, bits: int = ID_BITS) -> DataFrame:
+    """One row per some ``most`` bytes of notes: their CSR arrays, the words and ids of its columns, and the notes with what the text alone shows.
+
+    A word's id is ``bits`` bits of its XXH64; ``term_matrix`` sees to words that share one.
+    """
+    small_batches(observations.sparkSession)
     source = noted(observations, F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")).withColumn("note", F.col("note").cast("binary"))
     row = StructType([source.schema["obs_id"], source.schema["part"], *_fields("digest binary, capitals boolean, marks boolean")])
-    schema = StructType([*_fields("shard bigint, words array<string>, bounds binary, columns binary, counts binary"), StructField("rows", ArrayType(row))])
+    schema = StructType([*_fields("shard bigint, words array<string>, term_ids array<bigint>, bounds binary, columns binary, counts binary"), StructField("rows", ArrayType(row))])
     arrow = to_arrow_schema(schema)
     row_type = arrow.field("rows").type.value_type
 
     def run(batches):
         number = count((TaskContext.get().partitionId() if TaskContext.get() else 0) << 33)
+        matrix, rows, size = CsrRows(), [], 0
         for batch in slices(batches, most):
             notes = batch.column("note").to_pylist()
-            words, bounds, columns, counts = csr_rows(notes)
+            for note in notes:
+                matrix.add(note)
             seen = np.stack([np.bincount(np.frombuffer(n, np.uint8), minlength=256) for n in notes])
             capitals = 100 * seen[:, _CAPITALS].sum(1) > 5 * (seen.sum(1) - seen[:, _FOLLOWS].sum(1))
-            marks = seen[:, _MARKS].any(1)
             digests = [hashlib.blake2b(n, digest_size=16).digest() for n in notes]
-            fields = [batch.column("obs_id"), batch.column("part"), pa.array(digests, pa.binary()), pa.array(capitals), pa.array(marks)]
-            rows = pa.StructArray.from_arrays([f.cast(t.type) for f, t in zip(fields, row_type)], fields=list(row_type))
-            one = [
-                pa.array([next(number)]), pa.array([[w.decode("utf-8", "replace") for w in words]], arrow.field("words").type),
-                *[pa.array([x.tobytes()], pa.binary()) for x in (bounds, columns, counts)],
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(arrow.field("rows").type),
-            ]
-            yield pa.RecordBatch.from_arrays(one, schema=arrow)
+            fields = [batch.column("obs_id"), batch.column("part"), pa.array(digests, pa.binary()), pa.array(capitals), pa.array(seen[:, _MARKS].any(1))]
+            rows.append(pa.StructArray.from_arrays([f.cast(t.type) for f, t in zip(fields, row_type)], fields=list(row_type)))
+            size += sum(map(len, notes))
+            if size >= most:
+                yield shard(next(number), matrix, rows)
+                matrix, rows, size = CsrRows(), [], 0
+        if rows:
+            yield shard(next(number), matrix, rows)
+
+    def shard(number: int, matrix: CsrRows, rows: list) -> pa.RecordBatch:
+        words, *arrays = matrix.arrays()
+        notes = pa.concat_arrays(rows)
+        ids = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - bits)
+        one = [
+            pa.array([number]), pa.array([[w.decode("utf-8", "replace") for w in words]], arrow.field("words").type),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids.view(np.int64))).cast(arrow.field("term_ids").type),
+            *[pa.array([x.tobytes()], pa.binary()) for x in arrays],
+            pa.ListArray.from_arrays(pa.array([0, len(notes)], pa.int32()), notes).cast(arrow.field("rows").type),
+        ]
+        return pa.RecordBatch.from_arrays(one, schema=arrow)
 
     return source.mapInArrow(run, schema)
 
 
 def term_matrix(shards: DataFrame) -> DataFrame:
-    """The shards with ``term_ids``: the ids of their words in a dictionary of the whole corpus.
+    """The shards with the ids that a dictionary of the whole corpus gives their words.
 
-    The dictionary gives each different word an id. It is built from the words of the shards, each once per
-    shard, and joined back to them, so it grows with the vocabulary and is never in one place.
+    The dictionary holds every different word of all shards, by id. A word keeps the id of its hash unless
+    another word has it too; all words of such an id get new ones beyond the range of hashes. Shards
+    that hold none of them, as a rule all, are used as they are stored.
     """
-    placed = shards.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = cut_lineage(placed.select("word").distinct().withColumn("term_id", F.monotonically_increasing_id()))
-    ids = placed.join(dictionary, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "term_id"))).alias("terms"))
-    ids = ids.select("shard", F.col("terms.term_id").alias("term_ids"))
-    return shards.drop("words").join(ids, "shard", "left")
+    placed = shards.select("shard", F.posexplode(F.arrays_zip("words", "term_ids")).alias("at", "t")).select("shard", "at", F.col("t.words").alias("word"), F.col("t.term_ids").alias("term_id"))
+    dictionary = placed.select("word", "term_id").repartition(F.col("term_id")).groupBy("term_id", "word").agg(F.count("*").alias("shards"))
+    shared = cut_lineage(dictionary.groupBy("term_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("term_id").alias("__i")))
+    if shared.isEmpty():
+        return shards.drop("words")
+    clash = placed.join(shared, F.col("term_id") == F.col("__i"))
+    renamed = cut_lineage(clash.select("word").distinct().withColumn("new_id", F.lit(1 << ID_BITS) + F.monotonically_increasing_id()))
+    fixes = clash.join(renamed, "word").groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("at", "new_id"))).alias("fixes"))
+    told = shards.drop("words").join(fixes, "shard", "left")
+    fixed = F.transform("term_ids", lambda i, at: F.coalesce(F.try_element_at("fixes", at), i))
+    return told.withColumn("term_ids", F.when(F.col("fixes").isNull(), F.col("term_ids")).otherwise(fixed)).drop("fixes")
 
 
 def term_counts(matrix: DataFrame) -> DataFrame:
@@ -126,7 +158,7 @@ def _total(test: Column, n: str = "n") -> Column:
 
 def audit_filters(
     observations: DataFrame, ratings: DataFrame, part: str = "source", reliable: str = "reliable", harmful: str = "harmful",
-    least_words: int = 50, most: int = 4 << 20,
+    least_words: int = 50, most: int = 8 << 20,
 ) -> DataFrame:
     """What five filters take from ``observations`` (obs_id, note and ``part``), in each of their 120 orders.
 
@@ -143,7 +175,7 @@ def audit_filters(
     and is unrated. Repeated rows are counted each; rows of one id do not fail E for one another. Other columns are
     ignored, an empty table gives an empty one.
 
-    A and B are read off a document-term matrix: slices of about ``most`` bytes of notes become CSR shards whose words are
+    A and B are read off a document-term matrix: every ``most`` bytes of notes become a CSR shard whose words are
     encoded by a dictionary of the whole corpus. E needs no join: rows are counted by note, part, rating and
     id, then by note, so a text that stands in a third of all rows is a few sums.
     """
