@@ -75,24 +75,24 @@ def _(spark, sf):
     return A.low_slow_points(view(spark, sf, "track"), F.lit(30.0), 300.0).select("pt")
 
 
-LOIT = """loit AS (SELECT icao, n, sqrt(pow((lon1-lon0)*111.32e0*cos(radians(mlat)),2)+pow((lat1-lat0)*111.32e0,2)) AS spread_km, mean_spd FROM (
-  SELECT icao, count(*) AS n, avg(lat) AS mlat, avg(spd_ms) AS mean_spd, min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1 FROM track WHERE t >= 1704758400 AND t < 1704844800 GROUP BY icao))"""
+LOIT = """loit AS (SELECT icao, day, n, sqrt(pow((lon1-lon0)*111.32e0*cos(radians(mlat)),2)+pow((lat1-lat0)*111.32e0,2)) AS spread_km, mean_spd FROM (
+  SELECT icao, CAST(floor(t/86400) AS BIGINT) AS day, count(*) AS n, avg(lat) AS mlat, avg(spd_ms) AS mean_spd, min(lat) AS lat0, max(lat) AS lat1, min(lon) AS lon0, max(lon) AS lon1 FROM track GROUP BY icao, day))"""
 
 
-def day_track(spark, sf):
-    return view(spark, sf, "track").where("t >= 1704758400 AND t < 1704844800")
+def daily_track(spark, sf):
+    return view(spark, sf, "track").withColumn("day", F.floor(F.col("t") / 86400))
 
 
 @query("a10_loitering", cte("track") + f", {LOIT} SELECT * FROM loit WHERE n >= 2 AND spread_km <= 4 AND mean_spd <= 110", "spread_km mean_spd")
 def _(spark, sf):
-    return A.loitering(day_track(spark, sf), ["icao"], min_points=2, max_spread_km=4.0)
+    return A.loitering(daily_track(spark, sf), ["icao", "day"], min_points=2, max_spread_km=4.0)
 
 
 @query("f21_is_firefighting", cte("track") + f", {REG}, {FLEET}, {LOIT} " + """SELECT pt FROM track t LEFT JOIN fleet f ON CAST(t.icao AS VARCHAR) = f.icao24 WHERE NOT on_ground AND (f.icao24 IS NOT NULL
   OR (regexp_matches(upper(callsign), '^(TANKER|TNKR|AIRATK|AIRAT|ATTACK|LEAD|BRONCO|COPTER|HELITK|CALFIRE|GRIZZLY|MALIBU|NEPTUNE)') AND length(callsign) >= 4)
   OR t.icao IN (SELECT icao FROM loit WHERE n >= 2 AND spread_km <= 4 AND mean_spd <= 110))""")
 def _(spark, sf):
-    loit = A.loitering(day_track(spark, sf), ["icao"], min_points=2, max_spread_km=4.0)
+    loit = A.loitering(daily_track(spark, sf), ["icao", "day"], min_points=2, max_spread_km=4.0)
     return A.is_firefighting(view(spark, sf, "track"), fleet(spark, sf), loit).select("pt")
 
 

@@ -131,15 +131,15 @@ def _(spark, sf):
     return B.origin_evidence(f, grid(spark, sf))
 
 
-@query("e06_shuttle_evidence", FIRES_DETS + f", {GRID} SELECT DISTINCT c.fire, c.ix, c.iy FROM gc c JOIN detections d USING (fire) WHERE det_id % 9 = 0 AND pow(c.lon-d.lon,2)+pow(c.lat-d.lat,2) <= pow(greatest((det_id%5)/1e1,0.3e0)/111e0,2)")
+@query("e06_shuttle_evidence", FIRES_DETS + f", {GRID} SELECT DISTINCT c.fire, c.ix, c.iy FROM gc c JOIN detections d USING (fire) WHERE pow(c.lon-d.lon,2)+pow(c.lat-d.lat,2) <= pow(greatest((det_id%5)/1e1,0.3e0)/111e0,2)")
 def _(spark, sf):
-    pts = view(spark, sf, "detections").where("det_id % 9 = 0").select("fire", "lat", "lon", (F.col("det_id") % 5 / F.lit(10.0)).alias("spread_km"))
+    pts = view(spark, sf, "detections").select("fire", "lat", "lon", (F.col("det_id") % 5 / F.lit(10.0)).alias("spread_km"))
     return B.shuttle_evidence(pts, grid(spark, sf))
 
 
-@query("e06_shuttle_weight", cte("detections") + " SELECT fire, CAST(sum(det_id % 3) AS BIGINT) AS trips, 0.65e0*least(1e0, 0.4e0+0.15e0*sum(det_id % 3)) AS weight FROM detections WHERE det_id % 50 = 0 GROUP BY fire", "weight")
+@query("e06_shuttle_weight", cte("detections") + " SELECT fire, CAST(sum(det_id % 3) AS BIGINT) AS trips, 0.65e0*least(1e0, 0.4e0+0.15e0*sum(det_id % 3)) AS weight FROM detections GROUP BY fire", "weight")
 def _(spark, sf):
-    sh = view(spark, sf, "detections").where("det_id % 50 = 0").select("fire", (F.col("det_id") % 3).alias("n_round_trips"))
+    sh = view(spark, sf, "detections").select("fire", (F.col("det_id") % 3).alias("n_round_trips"))
     return B.shuttle_weight(sh)
 
 

@@ -193,9 +193,9 @@ def _(spark, sf):
 
 
 @query("w12_latest_age", cte("detections", "fires") + f""" SELECT f.fire, coalesce(greatest(({NOW_S}e0 - m)/3600e0, 0e0), 99e0) AS age_h FROM fires f LEFT JOIN (
-  SELECT fire, max(t) AS m FROM detections WHERE sensor = 'VIIRS' AND fire % 5 <> 0 GROUP BY fire) d USING (fire)""", "age_h")
+  SELECT fire, max(t) AS m FROM detections WHERE sensor = 'VIIRS' GROUP BY fire) d USING (fire)""", "age_h")
 def _(spark, sf):
-    viirs = view(spark, sf, "detections").where("sensor = 'VIIRS' AND fire % 5 <> 0")
+    viirs = view(spark, sf, "detections").where("sensor = 'VIIRS'")
     return D.latest_age(view(spark, sf, "fires"), viirs, NOW_S)
 
 

@@ -97,7 +97,7 @@ def _(spark, sf):
 
 def features(spark, sf):
     """Feature pages spelled as landed JSON text and parsed with the source's own schema."""
-    o = table(spark, sf, "orders").where("o_orderkey % 2 = 0 OR o_orderkey % 5 > 0")
+    o = table(spark, sf, "orders")
     ms = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1000).cast("bigint").cast("string")
     geom = F.when(F.col("o_orderkey") % 7 > 0, F.struct(F.lit("Polygon").alias("type"), F.concat(F.lit("[[[0,0],["), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit(",0],[1,2],[0,0]]]")).alias("coordinates")))
     name = F.when(F.col("o_orderkey") % 3 == 0, "poly_IncidentName").otherwise("incidentname")
@@ -105,13 +105,13 @@ def features(spark, sf):
     return o.select(F.array(F.struct(props.alias("properties"), geom.alias("geometry"))).alias("features"))
 
 
-@query("s07_perimeter_rows", "SELECT 'F' || (o_custkey % 50) AS name, count(*) AS n, sum(o_totalprice) AS acres, max(epoch(o_orderdate)::BIGINT) AS last FROM orders WHERE o_orderkey % 7 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 5 > 0) GROUP BY 1", "acres")
+@query("s07_perimeter_rows", "SELECT 'F' || (o_custkey % 50) AS name, count(*) AS n, sum(o_totalprice) AS acres, max(epoch(o_orderdate)::BIGINT) AS last FROM orders WHERE o_orderkey % 7 > 0 GROUP BY 1", "acres")
 def _(spark, sf):
     rows = G.perimeter_rows(features(spark, sf), "wfigs")
     return rows.groupBy("name").agg(F.count("*").alias("n"), F.sum("acres").alias("acres"), F.max(F.unix_seconds("t_current")).alias("last"))
 
 
-@query("s08_perimeter_edges", "SELECT 'F' || (o_custkey % 50) AS name, s.seq::INTEGER AS seq, sum(s.x1 + s.x2)*1e0 AS sx FROM orders, LATERAL (SELECT unnest([0,1,2]) AS seq, unnest([0, o_orderkey % 9 + 1, 1]) AS x1, unnest([o_orderkey % 9 + 1, 1, 0]) AS x2) s WHERE o_orderkey % 7 > 0 AND (o_orderkey % 2 = 0 OR o_orderkey % 5 > 0) GROUP BY ALL", "sx")
+@query("s08_perimeter_edges", "SELECT 'F' || (o_custkey % 50) AS name, s.seq::INTEGER AS seq, sum(s.x1 + s.x2)*1e0 AS sx FROM orders, LATERAL (SELECT unnest([0,1,2]) AS seq, unnest([0, o_orderkey % 9 + 1, 1]) AS x1, unnest([o_orderkey % 9 + 1, 1, 0]) AS x2) s WHERE o_orderkey % 7 > 0 GROUP BY ALL", "sx")
 def _(spark, sf):
     e = G.perimeter_edges(G.perimeter_rows(features(spark, sf), "wfigs"), ["name"])
     return e.groupBy("name", "seq").agg(F.sum(F.col("x1") + F.col("x2")).alias("sx"))
@@ -160,12 +160,12 @@ def _(spark, sf):
     return G.hourly_rows(pts, "time", {"cape": "cape", "lifted_index": "lifted_index"}).withColumnRenamed("ts", "hour")
 
 
-@query("s14_road_rows", "SELECT l_orderkey AS way_id, CAST(i AS INTEGER) AS seq, -122e0 + i AS lon FROM lineitem, range(0,7) r(i) WHERE l_linenumber = 1 AND l_suppkey % 4 < 3 AND i < l_quantity % 5 + 1 AND l_quantity % 5 >= 1", "lon")
+@query("s14_road_rows", "SELECT l_orderkey*8 + l_linenumber AS way_id, CAST(i AS INTEGER) AS seq, -122e0 + i AS lon FROM lineitem, range(0,7) r(i) WHERE l_suppkey % 4 < 3 AND i < l_quantity % 5 + 1 AND l_quantity % 5 >= 1", "lon")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").where("l_linenumber = 1")
+    l = table(spark, sf, "lineitem")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("motorway", "trunk", "primary", "footway")]), (F.col("l_suppkey") % 4 + 1).cast("int"))
     pts = F.transform(F.sequence(F.lit(0), (F.col("l_quantity") % 5).cast("int")), lambda i: F.struct(F.lit(38.0).alias("lat"), (F.lit(-122.0) + i).alias("lon")))
-    return G.road_rows(l.select(F.col("l_orderkey").alias("way_id"), kind.alias("highway"), pts.alias("points"))).select("way_id", "seq", "lon")
+    return G.road_rows(l.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("way_id"), kind.alias("highway"), pts.alias("points"))).select("way_id", "seq", "lon")
 
 
 @query("s15_airport_rows", "SELECT c_custkey AS ident, CASE WHEN c_custkey % 6 = 0 THEN 0e0 ELSE c_acctbal END AS elev_ft FROM customer WHERE c_custkey % 11 > 0 AND c_custkey % 13 > 0 AND c_custkey % 17 > 0", "elev_ft")

@@ -33,12 +33,12 @@ def _(spark, sf):
     return W.closest_observation(asos(spark, sf), F.lit(302400.0), ["id"], 86400.0).select("id", "seq", "delta")
 
 
-@query("j08_nearest_hour", cte("weather") + """, targets AS (SELECT o_custkey AS point_id, o_orderkey AS target_id, epoch_us(o_orderdate)/1e6 + 5*3600e0 AS t FROM orders WHERE o_orderkey % 3 = 0),
+@query("j08_nearest_hour", cte("weather") + """, targets AS (SELECT o_custkey AS point_id, o_orderkey AS target_id, epoch_us(o_orderdate)/1e6 + 5*3600e0 AS t FROM orders),
   hit AS (SELECT g.target_id, w.seq, w.temp_f, abs(g.t - w.t) AS gap_s, row_number() OVER (PARTITION BY g.target_id ORDER BY abs(g.t - w.t), w.seq) AS rn FROM targets g JOIN weather w USING (point_id) WHERE abs(g.t - w.t) < 7200)
   SELECT g.target_id, h.seq, h.temp_f, h.gap_s FROM targets g LEFT JOIN (SELECT * FROM hit WHERE rn = 1) h USING (target_id)""", "temp_f gap_s")
 def _(spark, sf):
     w = view(spark, sf, "weather").select("point_id", "seq", "t", "temp_f").withColumn("sq", F.col("seq"))
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf, "orders")
     targets = o.select(F.col("o_custkey").alias("point_id"), F.col("o_orderkey").alias("target_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(1e6) + 18000.0).alias("t"))
     return W.nearest_hour(w, targets, ["point_id"]).select("target_id", F.col("sq").alias("seq"), "temp_f", "gap_s")
 
@@ -48,12 +48,12 @@ def _(spark, sf):
     return W.stations_within(view(spark, sf, "station_obs"), (-122.0, 38.0, -121.0, 39.0), 60.0).select("id")
 
 
-UV = """st AS (SELECT id, lat, lon, temp_f, rh, -spd_mph*sin(radians(dir_deg)) AS u, -spd_mph*cos(radians(dir_deg)) AS v FROM station_obs WHERE lat < 39.2),
+UV = """st AS (SELECT id, lat, lon, temp_f, rh, -spd_mph*sin(radians(dir_deg)) AS u, -spd_mph*cos(radians(dir_deg)) AS v FROM station_obs),
   cells AS (SELECT ident AS cell, lat*1.4e0 - 15.2e0 AS lat, lon FROM airport)"""
 
 
 def idw_inputs(spark, sf):
-    st = view(spark, sf, "station_obs").where("lat < 39.2").selectExpr("id", "lat", "lon", "temp_f", "rh", "-spd_mph*sin(radians(dir_deg)) AS u", "-spd_mph*cos(radians(dir_deg)) AS v")
+    st = view(spark, sf, "station_obs").selectExpr("id", "lat", "lon", "temp_f", "rh", "-spd_mph*sin(radians(dir_deg)) AS u", "-spd_mph*cos(radians(dir_deg)) AS v")
     cells = view(spark, sf, "airport").selectExpr("ident AS cell", "lat*1.4e0 - 15.2e0 AS lat", "lon")
     return cells, st
 
