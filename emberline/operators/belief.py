@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,24 +74,57 @@ def kernel(sigma_cells: float) -> list[tuple[int, float]]:
     return [(i - r, v / sum(w)) for i, v in enumerate(w)]
 
 
-def _blur_axis(field: DataFrame, grid: DataFrame, axis: str, size: str, weights: list[tuple[int, float]], keys: list[str], value: str) -> DataFrame:
-    """One pass: a value spreads to the cells that see it, also through its mirror images at both edges."""
-    offs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights])
-    rows = field.join(grid.select("fire", F.col(size).alias("__n")), "fire")
-    j, n = F.col(axis), F.col("__n")
-    images = F.array(j, -1 - j, 2 * n - 1 - j)
-    rows = rows.withColumn("__img", F.explode(images)).withColumn("__o", F.explode(offs))
-    at = F.col("__img") - F.col("__o.k")
-    other = "iy" if axis == "ix" else "ix"
-    out = rows.withColumn("__at", at).where((F.col("__at") >= 0) & (F.col("__at") < n))
-    return out.groupBy(*keys, F.col("__at").alias(axis), other).agg(F.sum(F.col(value) * F.col("__o.w")).alias(value))
-
-
-def gaussian_blur(field: DataFrame, grid: DataFrame, sigma_m: float, res_m: float = 100.0, keys: list[str] = ("fire",), value: str = "v") -> DataFrame:
-    """Separable blur of a sparse field with mirrored edges; kernels are literal arrays, not joins."""
-    weights = kernel(max(sigma_m / res_m, 0.3))
-    keys = list(keys)
-    return _blur_axis(_blur_axis(field, grid, "ix", "w", weights, keys, value), grid, "iy", "h", weights, keys, value)
+def mirror_matrix(n: int, lo: int, hi: int, src: int, stop: int, weights: list[tuple[int, float]]) -> np.ndarray:
+    """Rows ``lo`` to ``hi``, columns ``src`` to ``stop``: how a blurred line of ``n`` cells draws on the line.
+
+    Beyond an end the line goes on as its mirror image, over and over if the kernel is longer than the line.
+    """
+    step, weight = np.array(weights).T
+    at = (np.arange(lo, hi)[:, None] + step[None, :].astype(np.int64)) % (2 * n)
+    at = np.where(at < n, at, 2 * n - 1 - at)
+    out = np.zeros((hi - lo, stop - src))
+    np.add.at(out, (np.repeat(np.arange(hi - lo), len(step)), (at - src).ravel()), np.tile(weight, hi - lo))
+    return out
+
+
+def gaussian_blur(field: DataFrame, grid: DataFrame, sigma_m: float, res_m: float = 100.0, keys: list[str] = ("fire",), value: str = "v", block: int = 128) -> DataFrame:
+    """Separable blur of a sparse field with mirrored edges: keys, ix, iy and the value of every cell that the field reaches.
+
+    The grid is cut into blocks of ``block`` cells a side. A cell goes to its own block and to those that it
+    reaches across their borders, so a block has its halo with it, and is blurred by two small matrix
+    products; no row per cell and kernel step is ever made, and a large fire is many blocks.
+    """
+    weights, keys = kernel(max(sigma_m / res_m, 0.3)), list(keys)
+    r = weights[-1][0]
+    rows = field.select(*keys, "ix", "iy", F.col(value).cast("double").alias("__v")).join(grid.select("fire", "h", "w"), "fire")
+    for axis, size in (("ix", "w"), ("iy", "h")):
+        last = F.floor((F.col(size) - 1) / block)
+        first, stop = F.greatest(F.floor((F.col(axis) - r) / block), F.lit(0)), F.least(F.floor((F.col(axis) + r) / block), last)
+        rows = rows.withColumn(f"__b{axis}", F.explode(F.sequence(first, stop)))
+    kinds = {c: field.schema[c].dataType.simpleString() for c in (*keys, "ix", "iy")}
+    ints = {c: "int32" if kinds[c] == "int" else "int64" for c in ("ix", "iy")}
+
+    def blur(part: pd.DataFrame) -> pd.DataFrame:
+        top = part.iloc[0]
+        sides, spans = [], []
+        for axis, size in (("ix", "w"), ("iy", "h")):
+            n, lo = int(top[size]), int(top[f"__b{axis}"]) * block
+            hi = min(lo + block, n)
+            src, stop = max(0, lo - r), min(n, hi + r)
+            sides.append(mirror_matrix(n, lo, hi, src, stop, weights))
+            spans.append((lo, src, stop))
+        (x0, sx, ex), (y0, sy, ey) = spans
+        dense = np.zeros((2, ey - sy, ex - sx))
+        at = (part["iy"].to_numpy(np.int64) - sy, part["ix"].to_numpy(np.int64) - sx)
+        np.add.at(dense[0], at, part["__v"].to_numpy())
+        dense[1][at] = 1.0
+        out, reached = sides[1] @ dense @ sides[0].T
+        iy, ix = np.nonzero(reached > 0)
+        made = {k: [top[k]] * len(ix) for k in keys}
+        return pd.DataFrame({**made, "ix": (ix + x0).astype(ints["ix"]), "iy": (iy + y0).astype(ints["iy"]), value: out[iy, ix]})
+
+    schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + f", {value} double"
+    return rows.groupBy(*keys, "__bix", "__biy").applyInPandas(blur, schema)
 
 
 def evidence(weight: Column, cond_w: Column) -> Column:
