@@ -108,14 +108,15 @@ def fit_hashing(sample: np.ndarray, rows: int, k: int, tables: int, in_bucket: i
     The width is 1.75 times the median distance to the k-th neighbour in the sample; the number of hashes
     makes buckets of about ``in_bucket`` vectors, and the number of probes is the smallest of a ladder that
     finds ``least_found`` of the neighbours within the sample; where the whole ladder finds fewer, there are
-    fewer hashes. Neighbours in the whole table are nearer than those in a sample of it, hence found more often.
+    fewer hashes, then wider ones (dense places among sparse ones). Neighbours in the whole table are nearer than those in a sample of it, hence found more often.
     """
     rng = np.random.default_rng(seed)
     length = sample.shape[1]
     near, apart = _nearest_in(sample, max(min(k, len(sample) - 1), 0), 256)
     width = 1.75 * float(np.median(apart[:, -1])) if apart.size else 0.0
+    reach = float(np.abs(sample).max() * np.sqrt(length)) or 1.0
     if not width > 0:
-        width = float(np.abs(sample).max()) or 1.0
+        width = reach
     trial = np.floor(sample @ rng.normal(size=(length, 64)) / width + rng.uniform(size=64))
     half = len(trial) // 2
     together = float((trial[:half] == trial[half : 2 * half]).mean()) if half else 0.5
@@ -128,9 +129,12 @@ def fit_hashing(sample: np.ndarray, rows: int, k: int, tables: int, in_bucket: i
             asked = made.probed(sample[: len(near)])
             if not near.size or (home[:, :, :, None] == asked[:, None, None, :]).any((2, 3)).mean() >= least_found:
                 return made
-        if hashes == 1:
+        if hashes > 1:
+            hashes -= 1
+        elif width < 4 * reach:
+            width *= 2
+        else:
             return made
-        hashes -= 1
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
