@@ -192,10 +192,11 @@ class NodeTable:
         return slot
 
 
-def accumulate(keys: np.ndarray, parents: np.ndarray, leaf: np.ndarray, saved: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def accumulate(keys: np.ndarray, parents: np.ndarray, leaf: np.ndarray, saved: np.ndarray, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, leaves, saved) summed over the subtree of each distinct node of a shard, its top included.
 
-    ``keys`` and ``parents`` are (depth, s1, s2) per row; a parent that is no row here ends the way up.
+    ``keys`` and ``parents`` are (depth, s1, s2) per row. The way up ends where a segment begins: what lies in later
+    segments comes as a weight of its own.
     """
     distinct, at = np.unique(keys, axis=0, return_index=True)
     table = NodeTable(distinct)
@@ -207,7 +208,10 @@ def accumulate(keys: np.ndarray, parents: np.ndarray, leaf: np.ndarray, saved: n
     np.add.at(total[0], slot, leaf)
     np.add.at(total[1], slot, saved)
     parent = np.full(n, -1)
-    parent[slot[at]] = table.slots(parents[at])
+    inner = at[(distinct[:, 0] - 1) % segment != 0]
+    parent[slot[inner]] = table.slots(parents[inner])
+    if (parent[slot[inner]] < 0).any():
+        raise ValueError("a shard holds a node without its parent")
     order = np.argsort(-table.keys[:, 0], kind="stable")
     edges = np.flatnonzero(np.diff(table.keys[order, 0])) + 1
     for level in np.split(order, edges):  # deepest first
@@ -257,6 +261,7 @@ def subtree_sums(rows: DataFrame, nodes: DataFrame, shard_rows: int) -> DataFram
         paths = paths.unionByName(carried.where("leaf IS NOT NULL"))
     every = paths.unionByName(weights)
     shards = max(rows.count() // shard_rows, 1)
+    segment = SEGMENT
     dealt = every.withColumn("shard", F.pmod(F.xxhash64("conv_id", "segment"), F.lit(shards))).drop("conv_id", "segment")
     dealt = dealt.repartition(F.col("shard")).sortWithinPartitions("shard")
 
@@ -265,7 +270,7 @@ def subtree_sums(rows: DataFrame, nodes: DataFrame, shard_rows: int) -> DataFram
             col = {c: table.column(c).to_numpy() for c in table.column_names}
             keys = np.stack([col["depth"], col["s1"], col["s2"]], 1)
             parents = np.stack([col["depth"] - 1, col["p1"], col["p2"]], 1)
-            node, leaves, saved = accumulate(keys, parents, col["leaf"], col["saved"])
+            node, leaves, saved = accumulate(keys, parents, col["leaf"], col["saved"], segment)
             some = np.flatnonzero((leaves > 0) | (saved > 0))
             yield pa.RecordBatch.from_arrays([*[pa.array(node[some, k]) for k in range(3)], pa.array(leaves[some]), pa.array(saved[some])], names=[*NODE, "n_leaves", "saved_tokens"])
 
