@@ -12,41 +12,63 @@ from emberline.llm.queries import QUERIES
 SF = "/root/testdata/sf0.01"
 
 
-def templates(line, depth, general):
-    w = ["<*>" if any(c in "0123456789" for c in t) else t for t in line.encode().split() for t in [t.decode()]]
-    head, rest = (len(w), *w[:depth]), w[depth:]
-    out = {(head, None, tuple(rest))}
+def templates(line, depth, tokens, general):
+    """Leaf, words after the leading ones and templates of a line; no leaf for a blank one."""
+    raw = [t.decode() for t in line.encode().split()]
+    if len(raw) < tokens:
+        return ((("whole", *raw), None, {("whole", *raw)}) if raw else (None, None, set()))
+    w = ["<*>" if any(c in "0123456789" for c in t) else t for t in raw]
+    leaf, rest = (len(w), *w[:depth]), w[depth:]
+    out = {(leaf, None, tuple(rest))}
     if len(w) >= general:
         for k in range(5):
             lo, hi = k * len(rest) // 5, (k + 1) * len(rest) // 5
-            out.add((head, k, tuple(rest[:lo]), tuple(rest[hi:])))
-    return w, out
+            out.add((leaf, k, tuple(rest[:lo]), tuple(rest[hi:])))
+    return leaf, tuple(rest) if len(w) >= 5 and rest else None, out
+
+
+def opened(texts, depth, least):
+    """(leaf, words) -> templates with scattered open words, from the texts that hold each different line."""
+    seen, fits = defaultdict(int), defaultdict(set)
+    for (leaf, words), who in texts.items():
+        for at, w in enumerate(words):
+            seen[leaf, at, w] += len(who)
+    for leaf, words in texts:
+        for level in (least * 4**k for k in range(14)):
+            kept = tuple(w if seen[leaf, at, w] >= level else None for at, w in enumerate(words))
+            if 0 < 5 * kept.count(None) <= len(words) + depth:
+                fits[leaf, "open", kept].add((leaf, words))
+    out = defaultdict(set)
+    for t, lines in fits.items():
+        for line in lines if len(lines) > 1 else ():
+            out[line].add(t)
+    return out
 
 
 def brute(rows, depth=3, least=5, tokens=3, general=10):
-    fits, places = defaultdict(set), {}
-    rank = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0))
-    for r in rank:
-        lines = (rows[r][1] or "").split("\n")
-        for k, line in enumerate(lines):
-            w, ts = templates(line, depth, general)
-            if len(w) >= tokens:
-                around = (lines[k - 1] if k else None, lines[k + 1] if k + 1 < len(lines) else None)
-                for t in ts:
-                    fits[t].add((r, k, around))
+    fits, texts, varied = defaultdict(set), defaultdict(set), defaultdict(set)
+    notes = sorted({(i is None, i or 0, t or "") for i, t in rows})
+    for note in notes:
+        for k, line in enumerate(note[2].split("\n")):
+            leaf, words, found = templates(line, depth, tokens, general)
+            for t in found:
+                fits[t].add((note, k))
+            if words:
+                texts[leaf, words].add(note[2])
+                varied[leaf, words].add((note, k))
+    for line, found in opened(texts, depth, least).items():
+        for t in found:
+            fits[t] |= varied[line]
     gone = defaultdict(set)
     for found in fits.values():
-        notes = {(rows[r][0], rows[r][1]) for r, _, _ in found}
-        if len(notes) >= least and len({a for _, _, a in found}) >= least:
-            first = min(found, key=lambda f: (rank.index(f[0]), f[1]))
-            same = {r for r in range(len(rows)) if rows[r] == rows[first[0]]}
-            for r, k, _ in found:
-                if not (r in same and k == first[1]):
-                    gone[r].add(k)
+        if len({note[2] for note, _ in found}) >= least:
+            for note, k in found - {min(found)}:
+                gone[note].add(k)
     out = []
-    for r, (i, t) in enumerate(rows):
+    for i, t in rows:
+        drop = gone[i is None, i or 0, t or ""]
         lines = t.split("\n") if t else []
-        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone[r]) if gone[r] else t or "", len(lines), len(gone[r])))
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t or "", len(lines), len(drop)))
     return sorted(out, key=str)
 
 
