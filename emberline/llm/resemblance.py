@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.graph import components
-from emberline.llm.notes import map_notes, map_notes_beside, noted, placed
+from emberline.llm.notes import give_back, map_notes, map_notes_beside, noted, placed
 from emberline.llm.simhash import fingerprint_components, keep_first, shingle_hashes, simhash
 from emberline.session import cut_lineage, release
 
@@ -71,26 +71,34 @@ def link_run(component: np.ndarray, part: np.ndarray, across: bool, grams: list[
     return links
 
 
-def resembling_links(observations: DataFrame, nodes: DataFrame, words: int, least: float, share: int = 256) -> DataFrame:
-    """(a, b): links between components of ``nodes`` (obs_id, note_hash, component, bands), one row per different note.
-
-    Only buckets with notes of different components are looked at. A large bucket is cut into shares and
-    every two shares meet in a run of their own; a run yields fewer links than rows. The shingle sets are
-    made for the notes of such buckets only and compared whole.
-    """
-    spread = nodes.select("obs_id", "note_hash", "component", F.explode("bands").alias("bucket"))
+def shared_buckets(nodes: DataFrame, bands: Column, share: int) -> DataFrame:
+    """note_hash, component, bucket, shares: the rows of buckets that notes of different components hold."""
+    spread = nodes.select("note_hash", "component", F.explode(bands).alias("bucket"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    shared = cut_lineage(counts.where("lo <> hi").select(F.col("bucket").alias("__b"), F.ceil(F.col("n") / share).cast("int").alias("shares")))
-    members = cut_lineage(spread.join(shared, F.col("bucket") == F.col("__b")).drop("__b"))
-    release(shared)
-    wanted = members.select("obs_id", "note_hash").distinct().withColumn("given", F.lit(1))
+    shared = counts.where("lo <> hi").select(F.col("bucket").alias("__b"), F.ceil(F.col("n") / share).cast("int").alias("shares"))
+    return spread.join(shared, F.col("bucket") == F.col("__b")).drop("__b")
+
+
+def shingle_table(observations: DataFrame, nodes: DataFrame, words: int, share: int) -> DataFrame:
+    """(__h, grams): the shingle set of every different note that shares a bucket with a note of another component."""
+    held = shared_buckets(nodes, F.col("bands"), share).select(F.col("note_hash").alias("__h")).distinct()
+    wanted = cut_lineage(nodes.select("obs_id", "note_hash").join(held, F.col("note_hash") == F.col("__h")).drop("__h").withColumn("given", F.lit(1)))
 
     def make():
         return lambda notes, given: {"grams": shingle_sets(notes, words)}
 
     sets = map_notes_beside(placed(observations), wanted, "inner", make, "grams binary", "note_hash")
-    sets = cut_lineage(sets.groupBy("note_hash").agg(F.first("grams").alias("grams")).select(F.col("note_hash").alias("__h"), "grams"))
-    rows = members.withColumn("part", F.pmod(F.xxhash64("note_hash", F.lit(7)), F.col("shares")).cast("int"))
+    return cut_lineage(sets.groupBy("note_hash").agg(F.first("grams").alias("grams")).select(F.col("note_hash").alias("__h"), "grams"))
+
+
+def resembling_links(nodes: DataFrame, sets: DataFrame, bands: Column, least: float, share: int) -> DataFrame:
+    """(a, b): links between components of ``nodes`` (note_hash, component, bands), one row per different note, by some of its ``bands``.
+
+    Only buckets with notes of different components are looked at. A large bucket is cut into shares and
+    every two shares meet in a run of their own; a run yields fewer links than rows. Shingle sets are
+    compared whole.
+    """
+    rows = shared_buckets(nodes, bands, share).withColumn("part", F.pmod(F.xxhash64("note_hash", F.lit(7)), F.col("shares")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("lo"), F.greatest(k, F.col("part")).alias("hi")))
     rows = rows.select("note_hash", "component", "bucket", "part", F.explode(meets).alias("m"))
     rows = rows.select("note_hash", "component", "part", (F.col("m.lo") != F.col("m.hi")).alias("across"), F.xxhash64("bucket", "m").alias("run"))
@@ -108,6 +116,8 @@ def resembling_links(observations: DataFrame, nodes: DataFrame, words: int, leas
                 yield emit(table.slice(0, edge))
         if held is not None and held.num_rows:
             yield emit(held)
+        del held
+        give_back()
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         run, component, part = (table.column(c).to_numpy() for c in ("run", "component", "part"))
@@ -122,23 +132,37 @@ def resembling_links(observations: DataFrame, nodes: DataFrame, words: int, leas
     return dealt.mapInArrow(link, "a bigint, b bigint")
 
 
-def keep_one_of_resembling(observations: DataFrame, shingle_words: int = 4, radius: int = 4, share_words: int = 5, least_share: float = 0.8) -> DataFrame:
+def keep_one_of_resembling(
+    observations: DataFrame, shingle_words: int = 4, radius: int = 4, share_words: int = 5, least_share: float = 0.8, rounds: int = 3, share: int = 256,
+) -> DataFrame:
     """The rows of ``observations`` that stay when each group of near-duplicate notes keeps one, as in ``keep_one_of_group``.
 
     Notes are linked if their fingerprints differ in ``radius`` bits or fewer, or if their sets of
     ``share_words``-word shingles have a Jaccard similarity of ``least_share`` or more. Words are as in
     ``fingerprint_notes``; a note with fewer than a shingle's words is one shingle, a blank one has none.
+
+    The bands are looked at in ``rounds``: what one round has linked is one component for the next, so
+    that most buckets of copies have nothing left to compare and their shingle sets are not sent again.
     """
 
     def make():
         return lambda notes: {"fingerprint": simhash(notes, shingle_words).view(np.int64), "bands": minhash_bands(notes, share_words)}
 
     keyed = observations.select("obs_id", "note", F.xxhash64(F.coalesce(F.col("note"), F.lit(""))).alias("note_hash"))
-    rows = cut_lineage(map_notes(noted(keyed, "note_hash"), make, "fingerprint bigint, bands array<bigint>", "note_hash"))
+    rows = cut_lineage(map_notes(noted(keyed, "note_hash"), make, "fingerprint bigint, bands array<bigint>", "note_hash", most=1 << 19))
     parts = fingerprint_components(rows, radius)
     one = rows.groupBy("note_hash", "fingerprint").agg(F.min("obs_id").alias("obs_id"), F.first("bands").alias("bands"))
     nodes = cut_lineage(one.join(parts, F.col("fingerprint") == F.col("__f")).select("obs_id", "note_hash", "component", "bands"))
-    far = components(resembling_links(observations, nodes, share_words, least_share))
-    far = cut_lineage(far.select(F.col("node").alias("__n"), F.col("component").alias("__c")))
-    joined = parts.join(far, F.col("component") == F.col("__n"), "left").select("__f", F.coalesce("__c", "component").alias("component"))
-    return keep_first(observations, rows, cut_lineage(joined))
+    sets = shingle_table(observations, nodes, share_words, share)
+    for k in range(rounds):
+        lo, hi = k * BANDS // rounds, (k + 1) * BANDS // rounds
+        links = cut_lineage(resembling_links(nodes, sets, F.slice("bands", lo + 1, hi - lo), least_share, share))
+        far = cut_lineage(components(links).select(F.col("node").alias("__n"), F.col("component").alias("__c")))
+        moved = lambda df: cut_lineage(df.join(far, F.col("component") == F.col("__n"), "left").withColumn("component", F.coalesce("__c", "component")).drop("__n", "__c"))
+        old, parts, nodes = (parts, nodes), moved(parts), moved(nodes)
+        for done in (*old, links, far):
+            release(done)
+    kept = keep_first(observations, rows.drop("bands"), parts)
+    for done in (sets, nodes):
+        release(done)
+    return kept

@@ -208,10 +208,10 @@ def keep_one_of_group(observations: DataFrame, shingle_words: int = 4, radius: i
 def keep_first(observations: DataFrame, rows: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of ``observations`` that come first in their component, by ``rows`` (obs_id, note_hash, fingerprint) and ``parts``."""
     named = rows.join(parts, F.col("fingerprint") == F.col("__f"))
-    order = F.struct(F.col("obs_id").isNull().alias("none"), F.coalesce("obs_id", F.lit(0)).alias("id"), F.col("note_hash").alias("hash"))
+    order = F.struct(F.col("obs_id").isNull().alias("none"), F.col("obs_id").alias("id"), F.col("note_hash").alias("hash"))
     kept = named.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
-    kept = cut_lineage(kept.select(*[F.col(c).alias(f"__k_{c}") for c in ("none", "id", "hash")]))
-    keys = {"__none": F.col("obs_id").isNull(), "__id": F.coalesce("obs_id", F.lit(0)), "__hash": F.xxhash64(F.coalesce(F.col("note"), F.lit("")))}
-    tagged = observations.withColumns(keys)
-    stay = tagged.join(kept, (F.col("__none") == F.col("__k_none")) & (F.col("__id") == F.col("__k_id")) & (F.col("__hash") == F.col("__k_hash")), "left_semi")
-    return stay.dropDuplicates(list(keys)).drop(*keys)
+    kept = cut_lineage(kept.select("id", "hash"))
+    # All columns travel in a struct, so none can clash with the keys.
+    tagged = observations.select(F.struct("*").alias("row"), F.col("obs_id").alias("own"), F.xxhash64(F.coalesce(F.col("note"), F.lit(""))).alias("text"))
+    stay = tagged.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("text") == F.col("hash")), "left_semi")
+    return stay.dropDuplicates(["own", "text"]).select("row.*")

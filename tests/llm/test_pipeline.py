@@ -4,11 +4,10 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from brute import union_find
 from emberline.llm.queries import QUERIES
 from test_lines import brute as brute_lines
 from test_passages import brute as brute_passages
-from test_simhash import fingerprint
+from test_resemblance import survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,10 +49,9 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     before = texts(stages[1])
-    prints = {i: fingerprint(t) for i, t in before.items()}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4]
-    root = union_find(prints, links)
-    assert texts(stages[2]) == {i: t for i, t in before.items() if root[i] == i}
+    want, beyond = survivors(list(before.items()))
+    assert beyond  # pairs that only their shingle sets link
+    assert texts(stages[2]) == {i: before[i] for i in want}
 
 
 def test_passage_stage(stages):

@@ -9,7 +9,8 @@ import pytest
 
 import corpus_pipeline
 from brute import union_find
-from emberline.llm.resemblance import link_run
+from emberline.llm.resemblance import keep_one_of_resembling, link_run
+from emberline.llm.simhash import keep_one_of_group
 from test_simhash import fingerprint
 
 SF = "/root/testdata/sf0.01"
@@ -65,3 +66,14 @@ def test_link_run_compares_shares_and_sets(across):
     sets = [np.arange(0, 10), np.arange(1, 10), np.arange(50, 60), np.arange(51, 60)]
     links = link_run(np.arange(4), np.array([0, 1, 0, 0]), across, [s.astype(np.uint64) for s in sets], 0.8)
     assert links == ([(0, 1)] if across else [(0, 1), (2, 3)])
+
+
+@pytest.mark.parametrize("keep", [keep_one_of_group, keep_one_of_resembling])
+def test_string_ids_and_clashing_names_survive(spark, keep):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [("b", text, 1, "x"), ("a", text, 2, None), (None, text, 3, "y"), ("a", text, 4, "z"), ("c", "quite another text", 5, "v"), (None, None, 6, None)]
+    df = spark.createDataFrame(rows, "obs_id string, note string, __id int, __hash string")
+    got = keep(df).collect()
+    assert got[0].__fields__ == df.columns
+    assert sorted(((r.obs_id, r.note) for r in got), key=str) == sorted([("a", text), ("c", "quite another text"), (None, None)], key=str)
+    assert keep(df.limit(0)).count() == 0
