@@ -6,13 +6,14 @@ its free text. Every operator here reads those two columns and ignores whatever
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -28,6 +29,22 @@ def noted(observations: DataFrame, *more: str | Column) -> DataFrame:
     return observations.select("obs_id", F.coalesce(F.col("note"), empty).alias("note"), *more)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Have Spark hand whole notes to Python in batches of ``rows`` at most; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def give_back() -> None:
+    """Hand the memory that a task has freed back to the system: workers outlive their task, and several idle ones add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one slice holds about ``most`` bytes of notes, and a row at least."""
     for batch in batches:
@@ -46,6 +63,7 @@ def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]],
     columns, and returns one value list or array per column of the DDL string ``columns``; a key
     ``"rows"`` with source row numbers turns the map into one of zero or more rows per note.
     """
+    small_batches(observations.sparkSession)
     source = noted(observations, *more, *given).withColumn("note", F.col("note").cast("binary"))
     kept = StructType([f for f in source.schema.fields if f.name not in ("note", *given)])
     made = observations.sparkSession.range(0).select(F.lit(None).cast(f"struct<{columns}>").alias("x")).schema["x"].dataType
@@ -62,6 +80,9 @@ def map_notes(observations: DataFrame, make: Callable[[], Callable[..., dict]],
                 ids = [c.take(pa.array(rows, pa.int64())) for c in ids]
             cols = ids + [pa.array(out[f.name], arrow.field(len(ids) + k).type) for k, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            del out, cols, ids, part
+        del work
+        give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from emberline.llm.notes import noted, slices
+from emberline.llm.notes import give_back, noted, slices
 from emberline.llm.pretokens import SLICE, Encoder, read_spec, texts, words
 
 PIECE = ("start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint")
@@ -92,6 +92,7 @@ def even(sequence: list[tuple[int, int, int]], room: int) -> list[list[tuple[int
 def pack_notes(
     observations: DataFrame, tokenizer_file: str, end_id: int = 2, room: int = 4096, segments: int = 512,
     most_loss: int | None = None, loss: str | None = None, window_docs: int = 1024, window_tokens: int = 1 << 21,
+    slice_bytes: int = 2 * SLICE, cache: int = 250_000,
 ) -> DataFrame:
     """Pieces of all notes in sequences of at most ``room`` tokens.
 
@@ -126,8 +127,9 @@ def pack_notes(
 
     def windows(batches) -> Iterator[tuple[list, list[bytes], list]]:
         encoder = Encoder.shared(sent.value)
+        encoder.most = cache
         ids, packed, losses, held = [], [], [], 0
-        for part in slices(batches, 2 * SLICE):
+        for part in slices(batches, slice_bytes):
             cut = [words(n) for n in texts(part.column("note").to_pylist())]
             table = encoder.ids(set().union(*cut))
             for i, pieces, w in zip(part.column("obs_id").to_pylist(), cut, part.column("__loss").to_pylist()):
@@ -165,5 +167,6 @@ def pack_notes(
                     offset += n
                 sequence += 1
             yield pa.RecordBatch.from_pydict(rows, schema=arrow)
+        give_back()
 
     return source.mapInArrow(run, schema)

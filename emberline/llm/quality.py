@@ -6,11 +6,11 @@ from itertools import combinations
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.notes import map_notes, noted
+from emberline.llm.notes import give_back, map_notes, noted, slices, small_batches
 from emberline.llm.samples import labelled_sample
 
 FEATURES = (
@@ -196,10 +196,12 @@ def keep_reliable(observations: DataFrame, model: AdditiveModel, keep_from: floa
     The same scores as ``score_notes``; a NULL note is judged as an empty one and stays NULL if kept.
     """
     sent = observations.sparkSession.sparkContext.broadcast(model)
+    small_batches(observations.sparkSession)
 
-    @F.pandas_udf("double")
-    def score(notes: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(note_features(notes.tolist())))
+    def keep(batches):
+        for part in slices(batches):
+            notes = part.column("note").cast(pa.binary()).fill_null(b"").to_pylist()
+            yield part.filter(pa.array(sent.value.score(note_features(notes)) >= keep_from))
+        give_back()
 
-    whole = F.coalesce(F.col("note"), F.lit("")).cast("binary")
-    return observations.where(score(whole) >= keep_from)
+    return observations.mapInArrow(keep, observations.schema)
