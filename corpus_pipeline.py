@@ -57,8 +57,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in training sequences of 4096 tokens."""
-    packed = pack_notes(_notes(docs), vocabulary("word_bpe_49k.json"), end_id=2, room=4096)
+    """Pieces of all documents in training sequences of 4096 tokens; less is held at once than alone, workers of earlier stages are still there."""
+    packed = pack_notes(_notes(docs), vocabulary("word_bpe_49k.json"), end_id=2, room=4096, slice_bytes=1 << 19, cache=50_000)
     return packed.withColumnRenamed("obs_id", "doc_id")
 
 
